@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import lang_id, lm_score, piece_counts, shared, token_store, toxicity
+from kinfold.llm import jaccard_join, lang_id, lm_score, piece_counts, shared, token_store, toxicity
 
 
 def vocabulary() -> str:
@@ -52,11 +52,16 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, model)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), jaccard_join.JaccardConfig(shingle=4, percent=85))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_token_output": op3_token_output,
     "op6_token_counts": op6_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 SQL: dict[str, str] = {}
