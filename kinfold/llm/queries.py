@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import jaccard_join, lang_id, lm_score, piece_counts, shared, token_store, toxicity
+from kinfold.llm import embed_dedup, jaccard_join, lang_id, lm_score, piece_counts, shared, token_store, toxicity
 
 
 def vocabulary() -> str:
@@ -26,6 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model).withColumn("held_out", shared.held_out("doc_id", 5, 0))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.Scratch(spark, "op3").path()
     token_store.write_store(_table(spark, sf_dir, "documents"), path, vocabulary())
@@ -58,6 +62,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_token_output": op3_token_output,
     "op6_token_counts": op6_token_counts,
     "op8_toxicity": op8_toxicity,
