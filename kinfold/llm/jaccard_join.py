@@ -235,3 +235,13 @@ def near_duplicates(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_co
     placed = member.join(near, "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = sizes.join(placed, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the smallest id of each class; of rows that share an id the one with the smallest text. Rows without an id stay."""
+    tmp = shared.Scratch(docs.sparkSession, "one-of-each")
+    keep = near_duplicates(docs, cfg, id_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
+    keep = tmp.write(keep)
+    stay = docs.join(keep, F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
+    first = stay.withColumn("_rank", F.row_number().over(Window.partitionBy(id_col).orderBy("text"))).filter("_rank = 1").drop("_rank")
+    return first.unionByName(docs.filter(F.col(id_col).isNull()))

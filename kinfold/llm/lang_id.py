@@ -204,33 +204,51 @@ def predict_bytes(model: LangModel, data: np.ndarray, off: np.ndarray) -> np.nda
     return z * (n > 0)[:, None]
 
 
+def _judge(texts: pa.Array, model: LangModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the language (one past the last: und), score and rejection of each text."""
+    import pyarrow.compute as pc
+
+    n, und = len(texts), len(model.langs)
+    pred, best = np.full(n, und), np.zeros(n)
+    for lo, hi, data, off in shared.chunks(pc.utf8_lower(texts)):
+        size = np.diff(off)
+        # reduceat gives an empty text its neighbour's first byte, hence the last factor
+        letter = np.add.reduceat(np.append((data >= 97) & (data <= 122), False), off[:-1], dtype=np.int64) * (size > 0) > 0
+        for i in np.flatnonzero(~letter & (size > 0)):
+            letter[i] = any(c.isalpha() for c in texts[lo + int(i)].as_py())
+        if not model.langs:
+            continue
+        p = predict_bytes(model, data, off)
+        none = letter & (p.sum(1) == 0)  # a letter outside the kept bytes makes no subword: the bias decides
+        prior = np.exp(model.bias / model.temperature)
+        p[none] = prior / prior.sum()
+        pred[lo:hi] = np.where(letter, p.argmax(1), und)
+        best[lo:hi] = np.where(letter, p.max(1).clip(0, 1), 0.0)
+    return pred, best, (pred == und) | (best < model.reject_below)
+
+
 def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: id, lang_pred, score and rejected (``und``, or a score under the calibrated limit). No shuffle; one pass over the texts."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches):
-        model = held.value
-        names = np.array([*model.langs, UND], object)
+        names = np.array([*held.value.langs, UND], object)
         for batch in batches:
-            raw, text = batch.column(1), shared.utf8(batch, "text")
-            n = batch.num_rows
-            pred, best = np.full(n, len(model.langs)), np.zeros(n)
-            for lo, hi, data, off in shared.chunks(text):
-                size = np.diff(off)
-                ascii_letter = np.add.reduceat(np.append((data >= 97) & (data <= 122), False), off[:-1].clip(max=len(data)), dtype=np.int64) * (size > 0)
-                letter = ascii_letter > 0
-                for i in np.flatnonzero(~letter & (size > 0)):
-                    letter[i] = any(c.isalpha() for c in raw[lo + int(i)].as_py() or "")
-                if not model.langs:
-                    continue
-                p = predict_bytes(model, data, off)
-                none = letter & (p.sum(1) == 0)  # a letter alone makes no subword: the bias decides
-                prior = np.exp(model.bias / model.temperature)
-                p[none] = prior / prior.sum()
-                pred[lo:hi] = np.where(letter, p.argmax(1), len(model.langs))
-                best[lo:hi] = np.where(letter, p.max(1), 0.0)
-            reject = (pred == len(model.langs)) | (best < model.reject_below)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[pred], pa.string()), pa.array(best.clip(0, 1)), pa.array(reject)], [id_col, "lang_pred", "score", "rejected"])
+            pred, best, reject = _judge(batch.column(1), held.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[pred], pa.string()), pa.array(best), pa.array(reject)], [id_col, "lang_pred", "score", "rejected"])
 
     return docs.select(id_col, "text").mapInArrow(score, f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: LangModel) -> DataFrame:
+    """The rows of ``docs`` whose text is not rejected, all columns kept. One narrow pass."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            mask = ~_judge(batch.column(place), held.value)[2]
+            yield batch.filter(pa.array(mask))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import embed_dedup, jaccard_join, lang_id, lm_score, piece_counts, shared, token_store, toxicity
+from kinfold.llm import decontaminate, embed_dedup, jaccard_join, lang_id, lm_score, mixing, piece_counts, preference, shared, token_store, toxicity
 
 
 def vocabulary() -> str:
@@ -36,6 +36,18 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.neighbour_pairs(_table(spark, sf_dir, "conversations")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_pieces(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -64,9 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_token_output": op3_token_output,
+    "op4_mixing": op4_mixing,
+    "op5_chat_format": op5_chat_format,
+    "op7_decontamination": op7_decontamination,
     "op6_token_counts": op6_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_jaccard_join": op10_jaccard_join,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_mixing": mixing.sql(), "op5_chat_format": preference.SQL}
