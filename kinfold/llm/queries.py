@@ -64,7 +64,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents that ``labels`` calls good. The join moves each text once; the scoring pass moves none."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").filter("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
-    model = lm_score.fit(docs.join(good, "doc_id", "left"), "good")
+    model = lm_score.fit(docs.join(good.hint("merge"), "doc_id", "left"), "good")
     return lm_score.score(docs, model)
 
 
