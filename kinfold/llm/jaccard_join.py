@@ -12,9 +12,9 @@ Pigeonhole with slack. With P = D + 1 + s parts, linked sketches agree in at lea
 and leave out the first s of their own: the rarest key that two linked documents share is past the first s in both, so it stays. This removes empty parts and
 passages that many documents share from the candidate search without losing a pair; no cap exists.
 
-Verify. Documents of a key are first held against the smallest of them only; exact intersections of whole shingle sets decide. Then, for keys whose
-documents still lie in several components, every pair across components that was not held against each other before is verified as well. Pairs inside a
-component cannot change the classes. Documents with equal sets are one node throughout.
+Verify. Documents of a key are first held against the smallest of them; exact intersections of whole shingle sets decide. Then the documents that were held against the same
+one, which every two documents of a key are, are compared among themselves where they still lie in several components: chunk by chunk, all pairs by matrix products, only
+a forest of links leaving a task. Pairs inside a component cannot change the classes. Documents with equal sets are one node throughout.
 
 Cost: about 0.4 * (100 - T) / 15 keys of 16 bytes per shingle cross the network twice; texts move once, for the documents that are in a candidate pair.
 
@@ -39,6 +39,7 @@ class JaccardConfig:
     shingle: int = 5
     percent: int = 80
     slack: float = 0.1
+    chunk: int = 512
     largest: int = 1 << 40
 
     def bands(self) -> list[tuple[int, int, int, int]]:
@@ -158,7 +159,12 @@ def _sets(docs: DataFrame, cfg: JaccardConfig, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), "text").mapInArrow(run, "id long, set binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, cfg: JaccardConfig, id_col: str) -> DataFrame:
+def _enough(both, x, y, percent: int):
+    """The limit on an intersection of sets of sizes x and y, in integers."""
+    return (both > 0) & (100 * both >= percent * (x + y - both))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
     """Those of ``pairs`` (a, b) that reach the limit, by exact intersections of whole sets."""
     percent = cfg.percent
 
@@ -169,21 +175,73 @@ def _verified(pairs: DataFrame, docs: DataFrame, cfg: JaccardConfig, id_col: str
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
-                both = 0
                 if len(x):
                     at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                ok[i] = both and 100 * both >= percent * (len(x) + len(y) - both)
+                    ok[i] = _enough(int((y[np.minimum(at, len(y) - 1)] == x).sum()), len(x), len(y), percent)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sets(docs.join(ids, docs[id_col] == ids["id"], "left_semi"), cfg, id_col)
-    first = pairs.join(sets.withColumnRenamed("set", "sb").withColumnRenamed("id", "b"), "b")
-    both = first.join(sets.withColumnRenamed("set", "sa").withColumnRenamed("id", "a"), "a")
+    first = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    both = first.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets: products of incidence matrices over the members that both lists have, a slice at a time."""
+    l_of, r_of = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    l_all, r_all = np.concatenate(left), np.concatenate(right)
+    names = np.intersect1d(l_all, r_all)
+    total = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(names), columns):
+        part = names[lo : lo + columns]
+        sides = []
+        for of, every, n in ((l_of, l_all, len(left)), (r_of, r_all, len(right))):
+            at = np.minimum(np.searchsorted(part, every), len(part) - 1)
+            hit = part[at] == every
+            m = np.zeros((n, len(part)), np.float32)
+            m[of[hit], at[hit]] = 1
+            sides.append(m)
+        total += sides[0] @ sides[1].T
+    return total.astype(np.int64)
+
+
+def _across(groups: DataFrame, sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Links (a, b) between documents of one group (lead, id, root) that lie in different components.
+
+    A group is dealt in chunks of about ``chunk`` documents by a hash; a task judges two chunks, all pairs by matrix products, and gives only a spanning forest of the links
+    it found. No pair is a row, and no task grows with a group.
+    """
+    percent = cfg.percent
+    size = groups.groupBy("lead").agg(F.count("*").alias("k"), (F.min("root") != F.max("root")).alias("x")).filter("x")
+    dealt = groups.join(size.select("lead", F.ceil(F.col("k") / cfg.chunk).cast("int").alias("k")), "lead").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    dealt = dealt.join(sets, "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = dealt.select("lead", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "root", "set")
+
+    def judge(t: pa.Table) -> pa.Table:
+        i, ids, root = t.column("i").to_numpy(), t.column("id").to_numpy(), t.column("root").to_numpy()
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        n = np.array([len(x) for x in sets])
+        a, b = np.flatnonzero(i == p), np.flatnonzero(i == q)
+        out = []
+        if len(a) and len(b) and len(np.unique(root)) > 1:
+            both = shared_counts([sets[x] for x in a], [sets[x] for x in b])
+            hit = _enough(both, n[a][:, None], n[b][None], percent) & (root[a][:, None] != root[b][None])
+            up = {int(r): int(r) for r in root}
+            for x, y in np.argwhere(hit).tolist():
+                u, v = int(root[a[x]]), int(root[b[y]])
+                while up[u] != u:
+                    u = up[u]
+                while up[v] != v:
+                    v = up[v]
+                if u != v:
+                    up[max(u, v)] = min(u, v)
+                    out.append((int(ids[a[x]]), int(ids[b[y]])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return cells.groupBy("lead", "p", "q").applyInArrow(judge, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -215,22 +273,20 @@ def near_duplicates(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_co
     tmp.drop(met)
 
     lead = left.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
-    lead = left.join(lead, "key").filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    tried = tmp.write(lead)
-    links = tmp.write(_verified(tried, docs, cfg, id_col))
+    tried = tmp.write(left.join(lead, "key").filter("rep != a").select("a", F.col("rep").alias("b")).distinct())
+    tmp.drop(left)
+    # One pass over the texts of documents in a pair; by merge at every size, so that what is moved follows the input.
+    ids = tried.select(F.explode(F.array("a", "b")).alias("_id")).distinct().hint("merge")
+    sets = tmp.write(_sets(docs.join(ids, F.col(id_col).cast("long") == F.col("_id"), "left_semi"), cfg, id_col))
+    links = tmp.write(_verified(tried, sets, cfg))
     roots = tmp.write(shared.components(links, tmp))
 
-    # keys whose documents are still apart: every pair across components, sizes permitting, that was not tried
-    at = left.join(roots, left["rep"] == roots["node"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    apart = at.groupBy("key").agg((F.min("root") != F.max("root")).alias("x")).filter("x").select("key")
-    at = tmp.write(at.join(apart, "key", "left_semi"))
-    x, y = at.alias("x"), at.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= cfg.percent * F.greatest("x.n", "y.n")))
-    cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    cross = tmp.write(cross)
-    if not cross.isEmpty():
-        more = tmp.write(_verified(cross, docs, cfg, id_col))
-        roots = tmp.write(shared.components(links.unionByName(more), tmp))
+    # Two documents of a key have its first document in common. So every candidate pair lies in the group of some first document: judge those groups that still are in several components.
+    groups = tried.select(F.col("a").alias("lead"), F.col("b").alias("id")).unionByName(tried.select(F.col("a").alias("lead"), F.col("a").alias("id")).distinct())
+    groups = tmp.write(groups.join(roots, groups["id"] == roots["node"], "left").select("lead", "id", F.coalesce("root", "id").alias("root")))
+    more = tmp.write(_across(groups, sets, cfg))
+    tmp.drop(sets, groups)
+    roots = tmp.write(shared.components(links.unionByName(more), tmp))
     near = roots.withColumnRenamed("node", "rep")
     placed = member.join(near, "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = sizes.join(placed, "id", "left")
