@@ -96,7 +96,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deco
     # texts of candidate documents only; the candidates' table is written, so its size decides how it is joined
     mine = docs.select(row_id(id_col).alias("row_id"), F.col(id_col).alias("doc_id"), "text").join(near.select("row_id").distinct(), "row_id", "left_semi").distinct()
     both = near.join(mine, "row_id")
-    both = both.select("*", words(F.col("text")).alias("dw"), words(template(F.col("text"))).alias("dt"), words(F.col("item_text")).alias("iw"), words(template(F.col("item_text"))).alias("it"))
+    # written, for otherwise the optimizer moves the patterns into the loop over words below
+    both = both.select("item_key", "item_id", "n_words", "shift", "row_id", "doc_id", words(F.col("text")).alias("dw"), words(template(F.col("text"))).alias("dt"), words(F.col("item_text")).alias("iw"), words(template(F.col("item_text"))).alias("it"))
+    both = tmp.write(both)
     lined = both.withColumn("pair", F.transform(F.sequence(F.lit(1), F.col("n_words")), lambda i: F.struct(F.get(F.col("dt"), i - 1 + F.col("shift")).alias("dt"), F.get(F.col("it"), i - 1).alias("it"), F.lower(F.get(F.col("dw"), i - 1 + F.col("shift"))).alias("dw"), F.lower(F.get(F.col("iw"), i - 1)).alias("iw"))))
     same = F.filter("pair", lambda x: x["dt"] == x["it"])
     slot = lambda x: x["it"].isin(NUMBER, NAME, UNIT)
