@@ -41,7 +41,7 @@ def hash_words(raw: Column, n_bytes: int = 18) -> Column:
     padded = F.rpad(F.hex(raw), -(-n_bytes // 8) * 16, "0")
     # each half of a word is read on its own: conv has no sign
     half = lambda i, j: F.conv(F.substring(padded, i * 16 + j * 8 + 1, 8), 16, 10).cast("long")
-    return F.array(*[F.shiftleft(half(i, 0), 32).bitwiseOR(half(i, 1)) for i in range(-(-n_bytes // 8))])
+    return F.when(raw.isNotNull(), F.array(*[F.shiftleft(half(i, 0), 32).bitwiseOR(half(i, 1)) for i in range(-(-n_bytes // 8))]))
 
 
 def video_similarity(a: Column, b: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # File categories and the extensions of each.
 CATEGORIES = ("image", "document", "video", "archive", "code")
 EXTENSIONS = {
@@ -48,7 +46,8 @@ IMAGE_CLASSES = (
     ("other", "Other", "an image that does not fit other categories"),
 )
 
-FILES = T.StructType.fromDDL("path string, name string, extension string, category string, size bigint, modified timestamp, mime_type string, dimensions struct<width:int,height:int>, has_exif boolean, sub_category string, classification_confidence float, classification_tier tinyint")
+#: The base table of files, as a schema string.
+FILES = "path string, name string, extension string, category string, size bigint, modified timestamp, mime_type string, dimensions struct<width:int,height:int>, has_exif boolean, sub_category string, classification_confidence float, classification_tier tinyint"
 
 #: The six tables of the session store.
 TABLES = {

@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold.functions.text import decoded, normal_code, normal_text
 
@@ -93,7 +94,7 @@ def pdf_text(content: bytes) -> str | None:
 _READERS = {"docx": docx_text, "doc": docx_text, "odt": odt_text, "pdf": pdf_text}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _packed_text(content: pd.Series, ext: pd.Series) -> pd.Series:
     return pd.Series([_READERS[e](c) if c is not None and e in _READERS else None for c, e in zip(content, ext, strict=True)], dtype=object)
 
@@ -177,7 +178,7 @@ def has_camera_data(content: bytes) -> bool:
     return False
 
 
-@F.pandas_udf("struct<width:int,height:int,has_exif:boolean>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("has_exif", T.BooleanType())]))
 def _image_facts(content: pd.Series) -> pd.DataFrame:
     rows = []
     for c in content:

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIDE = 12
 STEP = 2
@@ -69,7 +70,7 @@ def hashes(rgb: np.ndarray, side: int = SIDE) -> tuple[bytes, bytes, bytes]:
     return tuple(np.packbits(b.ravel(), bitorder="little").tobytes() for b in (mean, band, wide[:, 1:] > wide[:, :-1]))
 
 
-@F.pandas_udf("struct<mean_luma:float,edge_energy:float,hash_size:int,signature:string>")
+@F.pandas_udf(T.StructType([T.StructField("mean_luma", T.FloatType()), T.StructField("edge_energy", T.FloatType()), T.StructField("hash_size", T.IntegerType()), T.StructField("signature", T.StringType())]))
 def _facts(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.DataFrame:
     out = []
     for d, h, w, c in zip(data, height, width, channels, strict=True):
