@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import shared
@@ -83,36 +83,37 @@ def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _windows(keyed: DataFrame, cfg: EmbedConfig) -> DataFrame:
-    """Links (a, b) between rows that are near in the order of a pass."""
-
-    def run(batches):
-        tail: tuple | None = None
-        for batch in batches:
-            for lo in range(0, batch.num_rows, cfg.window):
-                part = batch.slice(lo, cfg.window)
-                row = part.column(3).to_numpy()
-                group = list(zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
-                names = {g: i for i, g in enumerate(dict.fromkeys(([*tail[1]] if tail else []) + group))}
-                vecs = [np.frombuffer(v.as_buffer(), np.float64) for v in part.column(4)]
-                rows, groups, all_vecs = row, group, vecs
-                if tail:
-                    rows, groups, all_vecs = np.concatenate([tail[0], row]), tail[1] + group, tail[2] + vecs
-                of = np.array([names[g] for g in groups])
-                a_out, b_out = [], []
-                for g in np.unique(of[len(rows) - len(row) :]):
-                    at = np.flatnonzero(of == g)
-                    x = np.stack([all_vecs[i] for i in at])
-                    hit = np.argwhere(np.triu(x @ x.T >= cfg.cosine, 1))
-                    for a, b in _forest(len(at), hit):
-                        a_out.append(rows[at[a]])
-                        b_out.append(rows[at[b]])
-                if a_out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(a_out, np.int64)), pa.array(np.array(b_out, np.int64))], ["a", "b"])
-                tail = (row, group, vecs)
-
-    dealt = keyed.repartitionByRange("pass", "label", "dim", "key", "row").sortWithinPartitions("pass", "label", "dim", "key", "row")
-    return dealt.select("pass", "label", "dim", "row", "vec").mapInArrow(run, "a long, b long")
+def _windows(keyed: DataFrame, cfg: EmbedConfig, tmp: shared.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between rows that are near in the order of a pass, and the table they are read from.
+
+    Rows are numbered in the order of all passes (a range sort, then one count a partition), cut in blocks of ``window`` numbers, and each block is compared with itself and the
+    one before it. So no window ends at the border of a task, and all tasks are alike however skewed labels or keys are.
+    """
+    order = ["pass", "label", "dim", "key", "row"]
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    dealt = tmp.write(dealt.select("pass", "label", "dim", "row", "vec", "at"))
+    dealt_p = dealt.withColumn("part", F.shiftright("at", 33)).withColumn("i", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    # one row a partition, so both the window and the broadcast have as many rows as the sort had partitions
+    before = dealt_p.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
+    block = F.floor((F.col("before") + F.col("i")) / cfg.window)
+    placed = dealt_p.join(F.broadcast(before), "part").withColumn("own", block).withColumn("block", F.explode(F.array(block, block + 1)))
+    cells = placed.select("block", (F.col("own") == F.col("block")).alias("mine"), "pass", "label", "dim", "row", "vec")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("pass", "ascending"), ("label", "ascending"), ("dim", "ascending"), ("mine", "ascending"), ("row", "ascending")])
+        mine, row = t.column("mine").to_numpy(), t.column("row").to_numpy()
+        kind = np.stack([t.column(c).to_numpy() for c in ("pass", "label", "dim")])
+        cut = np.concatenate([[0], np.flatnonzero((kind[:, 1:] != kind[:, :-1]).any(0)) + 1, [len(row)]])
+        vec = t.column("vec").combine_chunks()
+        out = []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if hi - lo > 1 and mine[lo:hi].any():
+                x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in vec[lo:hi]])
+                hit = np.triu(x @ x.T >= cfg.cosine, 1) & (mine[lo:hi][:, None] | mine[lo:hi][None])
+                out += [(row[lo + a], row[lo + b]) for a, b in _forest(hi - lo, np.argwhere(hit))]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return cells.groupBy("block").applyInArrow(compare, "a long, b long"), dealt
 
 
 def _unit(vectors: DataFrame, vec_col: str) -> DataFrame:
@@ -200,8 +201,9 @@ def near_duplicates(vectors: DataFrame, cfg: EmbedConfig = EmbedConfig(), id_col
     most = unit.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     n, found = passes_for(most, cfg), []
     for first in range(0, n, cfg.passes_per_job):
-        found.append(tmp.write(_windows(_keyed(unit, cfg, first, min(n, first + cfg.passes_per_job)), cfg)))
-        tmp.drop()
+        near, dealt = _windows(_keyed(unit, cfg, first, min(n, first + cfg.passes_per_job)), cfg, tmp)
+        found.append(tmp.write(near))
+        tmp.drop(dealt)
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
