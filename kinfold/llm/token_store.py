@@ -170,18 +170,23 @@ GROUP = 1 << 20
 
 
 class Encoder:
-    """``encode_batch`` of one tokenizer file, with the ids of words remembered.
+    """The ids that one tokenizer file's ``encode`` gives, with those of words remembered.
 
-    The file splits a lower-cased text into pieces and encodes each alone, so equal pieces have equal ids: a piece is given to the library
+    The file splits a lower-cased text into pieces and encodes each alone, so equal pieces have equal ids: a piece is given to the library's model
     when first met. A text with an unusual character is given to the library whole.
     """
 
     _held: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tok.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: 256 + i for i, b in enumerate(rest) if b != 32}
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -204,8 +209,11 @@ class Encoder:
         parts = {w: _PIECE.findall(w) for w in missing}
         new = list({x for p in parts.values() for x in p if x not in pieces})
         if new:
-            got = self.tok.encode_batch_fast(new, add_special_tokens=False)
-            pieces.update(zip(new, (struct.pack(f"={len(i)}I", *i) for i in (e.ids for e in got)), strict=True))
+            # one call for all of them: the file's own model, each piece a word in the model's byte alphabet
+            got = self.words.encode(" ".join(new).encode().decode("latin-1").translate(self.alphabet), add_special_tokens=False)
+            raw = np.array(got.ids, np.uint32).tobytes()
+            cut = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
+            pieces.update(zip(new, (raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)), strict=True))
         for w, p in parts.items():
             self.memo[w] = pieces[p[0]] if len(p) == 1 else b"".join([pieces[x] for x in p])
 
