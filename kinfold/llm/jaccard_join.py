@@ -255,12 +255,14 @@ def near_duplicates(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_co
     member = tmp.write(named.select("id", "n", "c1", "c2").join(least, ["c1", "c2"]).select("id", "n", "rep"))
 
     rows = sig.filter(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
-    often = rows.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
+    # written before the keys cross the network again, so that the first crossing's files are gone by then
+    often = tmp.write(rows.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1"))
+    tmp.drop()
     met = rows.join(often, "key")
     node = member.select("id", "rep", "n").distinct()
     met = met.join(node, "id").groupBy("key", "rep").agg(F.max("f").alias("f"), F.max("n").alias("n"))
     met = tmp.write(met)
-    tmp.drop(sig)
+    tmp.drop(sig, often)
     several = met.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     met2 = met.join(several, "key", "left_semi")
     # leave out the s most frequent keys that a document shows in a family; a document has few, so the window is small whatever the table
