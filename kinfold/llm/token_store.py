@@ -163,8 +163,16 @@ _SPACE = "\t-\r \x85\xa0"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 #: Texts with any of these go through the library whole: other scripts, controls, letters whose lower case is longer, added tokens.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ɏ]|<\\|")
-#: Words, and pieces of words, that a worker remembers at most; beyond it the memory starts anew (results do not change).
-MEMO = 600_000
+
+
+def _unusual(text: str) -> bool:
+    if text.isascii():  # a few scans for one character each are quicker than the pattern
+        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _UNUSUAL.search(text) is not None
+
+
+#: Words that a worker remembers at most; beyond it the memory starts anew (results do not change).
+MEMO = 450_000
 #: Characters of text encoded together.
 GROUP = 1 << 20
 
@@ -188,7 +196,6 @@ class Encoder:
         rest = [b for b in range(256) if b not in printable]
         self.alphabet = {b: 256 + i for i, b in enumerate(rest) if b != 32}
         self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -204,32 +211,32 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, missing: set[str], pieces: dict[str, bytes]) -> None:
-        """Ids of words not met before, through the ids of their pieces."""
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of words not met before, through the ids of their pieces; a piece that was met as a word is known."""
+        memo = self.memo
         parts = {w: _PIECE.findall(w) for w in missing}
-        new = list({x for p in parts.values() for x in p if x not in pieces})
+        new = list({x for p in parts.values() for x in p if x not in memo})
+        own: dict[str, bytes] = {}
         if new:
             # one call for all of them: the file's own model, each piece a word in the model's byte alphabet
             got = self.words.encode(" ".join(new).encode().decode("latin-1").translate(self.alphabet), add_special_tokens=False)
             raw = np.array(got.ids, np.uint32).tobytes()
             cut = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
-            pieces.update(zip(new, (raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)), strict=True))
+            own = {x: raw[a:b] for x, a, b in zip(new, cut[:-1], cut[1:], strict=True)}
         for w, p in parts.items():
-            self.memo[w] = pieces[p[0]] if len(p) == 1 else b"".join([pieces[x] for x in p])
+            memo[w] = (own[w] if w in own else memo[p[0]]) if len(p) == 1 else b"".join([own[x] if x in own else memo[x] for x in p])
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. No piece spans white space, so a text's ids are those of its words end to end."""
-        short = [None if not self.short or _UNUSUAL.search(t) else t.lower().split() for t in texts]
+        short = [None if not self.short or _unusual(t) else t.lower().split() for t in texts]
         if len(self.memo) > MEMO:
-            self.memo, self.pieces = {}, {}
+            self.memo = {}
         get = self.memo.get
         found = [None if w is None else list(map(get, w)) for w in short]
         missing = {x for w, f in zip(short, found, strict=True) if f and None in f for x, y in zip(w, f, strict=True) if y is None}
         if missing:
-            self._learn(missing, self.pieces)
+            self._learn(missing)
             found = [[get(x) for x in w] if f and None in f else f for w, f in zip(short, found, strict=True)]
-            if len(self.pieces) > MEMO:
-                self.pieces = {}
         return [self.whole(t) if f is None else np.frombuffer(b"".join(f), np.uint32) for t, f in zip(texts, found, strict=True)]
 
     def __call__(self, text: str) -> np.ndarray:
