@@ -1,12 +1,15 @@
 """LM scoring by cross-entropy difference (Moore and Lewis, 2010).
 
-Two n-gram models, one of the target documents and one of all documents, share one closed vocabulary, the bytes of the lower-cased UTF-8 text, one order, one
-hashing and one smoothing. The background's counts are scaled to the target's total before smoothing, so that the models are matched in size. The
+Two n-gram models, one of the target documents and one of all documents, share one closed vocabulary, the bytes of the lower-cased UTF-8 text, one order
+and one smoothing. The background's counts are scaled to the target's total before smoothing, so that the models are matched in size. The
 score of a document is the mean over its bytes of (background loss - target loss), in nats: high where a text reads like the target.
 
-Counting covers every byte of every document: a task adds the n-grams of orders 1 to ``order`` of its documents up in a hashed table and sends the non-zero cells;
-cells are then summed by block. What is sent grows with the number of tasks, thus with the input; the model that comes back has
-``order * 2 ** bits`` cells, a bound set by parameters, so it can be broadcast. Hashing two n-grams into one cell adds their counts, alike in both models.
+Counting covers every byte of every document and is exact: an n-gram of at most 7 bytes is one long, with its order in the top byte. A task adds up the longest n-grams of its
+documents and sends the sums; they are summed by n-gram, and shorter ones follow from them, as each byte ends one n-gram of each order. The counts are a
+table that grows with the corpus and is never held whole.
+
+Scoring deals documents in parts of about ``part_bytes``, each written once. A part asks the table for its distinct n-grams (a join by n-gram), and its documents meet the
+answers in one group by part, so a task holds the n-grams of one part only.
 
 p_k(b | c) = (n(c b) + m p_{k-1}(b | c')) / (n(c) + m), c' being c without its first byte and p_0 uniform over 256 bytes.
 
@@ -16,136 +19,189 @@ Extra columns are ignored; a null target mark means no.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from kinfold.llm import shared
 
+_ORDER_AT = 56
+
 
 @dataclass(frozen=True)
 class LmConfig:
     order: int = 5
-    bits: int = 20
     prior: float = 4.0
-    block_bits: int = 14
+    part_bytes: int = 16 << 20
+    held_grams: int = 4 << 20
+
+    def __post_init__(self):
+        if not 1 <= self.order <= 7:
+            raise ValueError("order must be 1 to 7")
 
 
 @dataclass
 class LmModel:
-    counts: np.ndarray  # order x cells x 2 (target, background), float32
-    totals: np.ndarray
+    counts: DataFrame  # gram (with its order in the top byte), target, background
+    totals: tuple[int, int]
     cfg: LmConfig
 
 
-def _cells(data: np.ndarray, off: np.ndarray, cfg: LmConfig):
-    """For order k = 1..: the cell of the k-gram that ends at each byte. Bytes before a document's first are 0."""
-    m, pad = len(off) - 1, cfg.order - 1
-    size = np.diff(off)
-    buf = np.zeros(len(data) + pad * m, np.uint64)
-    at = np.arange(len(data)) + pad * (np.repeat(np.arange(m), size) + 1)
+def _grams(data: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
+    """The longest n-gram that ends at each byte, its last byte lowest. Bytes before a document's first are 0."""
+    m, pad = len(off) - 1, order - 1
+    buf = np.zeros(len(data) + pad * m, np.int64)
+    at = np.arange(len(data)) + pad * (np.repeat(np.arange(m), np.diff(off)) + 1)
     buf[at] = data
-    h = np.zeros(len(data), np.uint64)
-    for k in range(cfg.order):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + buf[at - k] + np.uint64(1)
-        x = h ^ (h >> np.uint64(29))
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        yield k, (x >> np.uint64(64 - cfg.bits)).astype(np.int64)
+    out = buf[at]
+    for k in range(1, order):
+        out |= buf[at - k] << (8 * k)
+    return out
+
+
+def _key(gram, k: int):
+    """The key of the k-gram at the end of a longer one."""
+    return (gram & ((1 << 8 * k) - 1)) | (k << _ORDER_AT)
+
+
+def _keys(gram: Column, order: int) -> Column:
+    return F.array(*[gram.bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).bitwiseOR(F.lit(k << _ORDER_AT).cast("long")) for k in range(1, order + 1)])
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    gram, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+    n = np.concatenate([c for _, c in held])
+    return gram, np.stack([np.bincount(at, n[:, i], len(gram)) for i in range(2)], 1).astype(np.int64)
 
 
 def fit(docs: DataFrame, target: str, cfg: LmConfig = LmConfig()) -> LmModel:
     """Count ``docs`` (text, and ``target``: true for rows of the target domain)."""
-    blocks = 1 << (cfg.bits - cfg.block_bits)
 
     def count(batches):
-        total = np.zeros((2, cfg.order, 1 << cfg.bits), np.int64)
+        held, size = [], 0
         for batch in batches:
             mark = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in shared.chunks(shared.utf8(batch, "text")):
+                every = _grams(data, off, cfg.order)
+                gram, n = np.unique(every, return_counts=True)
+                both = np.stack([np.zeros_like(n), n], 1)
                 inside = np.repeat(mark[lo:hi], np.diff(off))
-                for k, cell in _cells(data, off, cfg):
-                    total[1, k] += np.bincount(cell, minlength=1 << cfg.bits)
-                    if inside.any():
-                        total[0, k] += np.bincount(cell[inside], minlength=1 << cfg.bits)
-        rows = {"k": [], "block": [], "at": [], "n": []}
-        for model in range(2):
-            for k in range(cfg.order):
-                for b, part in enumerate(total[model, k].reshape(blocks, -1)):
-                    at = np.flatnonzero(part)
-                    if len(at):
-                        rows["k"].append(model * cfg.order + k)
-                        rows["block"].append(b)
-                        rows["at"].append(np.diff(at, prepend=0).astype("<u2").tobytes())
-                        rows["n"].append(part[at].astype("<u8" if part.max() > 0xFFFFFFFF else "<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows["k"], pa.int32()), pa.array(rows["block"], pa.int32()), pa.array(rows["at"], pa.binary()), pa.array(rows["n"], pa.binary())], ["k", "block", "at", "n"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << cfg.block_bits, np.float64)
-        for batch in batches:
-            for at, n in zip(batch.column("at"), batch.column("n"), strict=True):
-                at, n = np.frombuffer(at.as_py(), "<u2").astype(np.int64), n.as_py()
-                total[np.cumsum(at)] += np.frombuffer(n, "<u8" if len(n) == 8 * len(at) else "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary())], ["k", "block", "n"])
-
-    # A block has at most one row a task for each model and order; it is added up row by row, never held whole.
-    cells = docs.select("text", target).mapInArrow(count, "k int, block int, at binary, n binary")
-    got = cells.groupBy("k", "block").applyInArrow(add, "k int, block int, n binary").toArrow()
-    counts = np.zeros((2 * cfg.order, blocks, 1 << cfg.block_bits), np.float32)
-    for k, b, n in zip(got.column("k").to_pylist(), got.column("block").to_pylist(), got.column("n"), strict=True):
-        counts[k, b] = np.frombuffer(n.as_py(), "<f4")
-    counts = counts.reshape(2, cfg.order, -1)
-    totals = counts[:, 0].sum(1, dtype=np.float64)
-    if totals[0] > 0:
-        counts[1] *= np.float32(totals[0] / totals[1])
-        totals[1] = totals[0]
-    return LmModel(np.ascontiguousarray(counts.transpose(1, 2, 0)), totals, cfg)
-
-
-def losses(model: LmModel, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Summed loss of each document under both models (documents x 2)."""
-    m = len(off) - 1
-    out = np.zeros((m, 2))
-    if not len(data):
-        return out
-    prior = np.float32(model.cfg.prior)
-    p = np.full((len(data), 2), 1 / 256, np.float32)
-    first = np.zeros(len(data), bool)
-    first[off[:-1][np.diff(off) > 0]] = True
-    below = None
-    for k, cell in _cells(data, off, model.cfg):
-        n = model.counts[k][cell]
-        if k == 0:
-            context = np.broadcast_to(model.totals.astype(np.float32), n.shape)
+                if inside.any():
+                    chosen, n = np.unique(every[inside], return_counts=True)
+                    both[np.searchsorted(gram, chosen), 0] = n
+                held.append((gram, both))
+                size += len(gram)
+                if size > cfg.held_grams:
+                    held = [_added(held)]
+                    size = len(held[0][0])
+                    if size > cfg.held_grams // 2:
+                        yield from sent(held)
+                        held, size = [], 0
+        if held:
+            yield from sent([_added(held)])
+
+    def sent(held):
+        gram, n = held[0]
+        for lo in range(0, len(gram), 1 << 16):
+            s = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(gram[s]), pa.array(n[s, 0]), pa.array(n[s, 1])], ["gram", "target", "background"])
+
+    tmp = shared.Scratch(docs.sparkSession, "lm")
+    sums = [F.sum("target").alias("target"), F.sum("background").alias("background")]
+    part = docs.select("text", target).mapInArrow(count, "gram long, target long, background long")
+    longest = part.groupBy("gram").agg(*sums)
+    counts = tmp.write(longest.select(F.explode(_keys(F.col("gram"), cfg.order)).alias("gram"), "target", "background").groupBy("gram").agg(*sums))
+    one = counts.filter(F.shiftright("gram", _ORDER_AT) == 1).agg(*sums).first()
+    return LmModel(counts, (one[0] or 0, one[1] or 0), cfg)
+
+
+def losses(gram: np.ndarray, key: np.ndarray, n: np.ndarray, totals: tuple[int, int], cfg: LmConfig, first: bool = False) -> np.ndarray:
+    """Loss of the last byte of each n-gram under both models; ``key`` (sorted) and ``n`` are the counts that it asks for. ``first``: of a document's first byte, whose contexts are unseen."""
+    scale = np.array([1.0, totals[0] / totals[1] if totals[0] else 1.0])
+
+    def look(of: np.ndarray, k: int) -> np.ndarray:
+        want = _key(of, k)
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        return np.where((key[at] == want)[:, None], n[at], 0) * scale
+
+    p = np.full((len(gram), 2), 1 / 256)
+    for k in range(1, cfg.order + 1):
+        seen = look(gram, k)
+        if k == 1:
+            context = np.broadcast_to(totals * scale, seen.shape)
         else:
-            # the context of a k-gram is the (k-1)-gram that ended one byte earlier; at a document's start it is unseen
-            context = np.empty_like(n)
-            context[1:] = below[:-1]
-            context[first] = 0
-        below = n
-        p *= prior
-        p += np.minimum(n, np.where(context > 0, context, n) if k else n)
-        p /= np.maximum(context, n) + prior
-    full = np.flatnonzero(np.diff(off) > 0)
-    out[full] = np.add.reduceat(-np.log(p), off[:-1][full], axis=0, dtype=np.float64)
-    return out
+            # the context of a k-gram is the (k-1)-gram that ended one byte earlier
+            context = np.zeros_like(seen) if first else look(gram >> 8, k - 1)
+        p = (cfg.prior * p + np.minimum(seen, np.where(context > 0, context, seen) if k > 1 else seen)) / (np.maximum(context, seen) + cfg.prior)
+    return -np.log(p)
+
+
+def _parts(docs: DataFrame, cfg: LmConfig, id_col: str, kind: str) -> DataFrame:
+    def run(batches):
+        size, here = 0, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            # a row counts some bytes of its own, so a part has not endless empty texts
+            n = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            part = here + (size + np.concatenate([[0], n[:-1]])) // cfg.part_bytes if len(n) else n
+            size += int(n[-1]) if len(n) else 0
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), batch.column(0), batch.column(1)], ["part", id_col, "text"])
+
+    return docs.select(id_col, "text").mapInArrow(run, f"part long, {id_col} {kind}, text string")
 
 
 def score(docs: DataFrame, model: LmModel, id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, n_tokens, loss_target, loss_background (means per token), score. One narrow pass."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """Per row: id, n_tokens, loss_target, loss_background (means per token), score."""
+    cfg, totals = model.cfg, model.totals
     kind = docs.schema[id_col].dataType.simpleString()
+    # written, for the parts must be the same when they ask and when they are scored
+    parts = shared.Scratch(docs.sparkSession, "lm-parts").write(_parts(docs, cfg, id_col, kind))
+
+    def ask(batches):
+        part, held = None, []
+
+        def asked():
+            gram = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            for k in range(cfg.order, 0, -1):
+                key = np.unique(_key(gram, k))
+                for lo in range(0, len(key), 1 << 16):
+                    some = key[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int64)), pa.array(some)], ["part", "gram"])
 
-    def run(batches):
-        model = held.value
         for batch in batches:
-            n, loss = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2))
-            for lo, hi, data, off in shared.chunks(shared.utf8(batch, "text"), 1 << 20):
+            of = batch.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if b > a and of[a] != part:
+                    yield from asked()
+                    part, held = int(of[a]), []
+                for _, _, data, off in shared.chunks(shared.utf8(batch.slice(a, b - a), "text")):
+                    held.append(np.unique(_grams(data, off, cfg.order)))
+        yield from asked()
+
+    def judge(rows: pa.Table, known: pa.Table) -> pa.Table:
+        key, at = np.unique(known.column("gram").to_numpy(), return_index=True)
+        counts = np.stack([known.column(c).to_numpy()[at] for c in ("target", "background")], 1)
+        gram = key[key >> _ORDER_AT == cfg.order] & ((1 << 8 * cfg.order) - 1)
+        n, total = np.zeros(rows.num_rows, np.int64), np.zeros((rows.num_rows, 2))
+        if len(gram):
+            inner, outer = losses(gram, key, counts, totals, cfg), losses(gram, key, counts, totals, cfg, True)
+            for lo, hi, data, off in shared.chunks(pc.utf8_lower(rows.column("text"))):
                 n[lo:hi] = np.diff(off)
-                loss[lo:hi] = losses(model, data, off)
-            loss /= np.maximum(n, 1)[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(loss[:, 0]), pa.array(loss[:, 1]), pa.array(loss[:, 1] - loss[:, 0])], [id_col, "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, n_tokens long, loss_target double, loss_background double, score double")
+                full = np.flatnonzero(np.diff(off) > 0)
+                if len(full):
+                    at = np.searchsorted(gram, _grams(data, off, cfg.order))
+                    loss, begin = inner[at], off[:-1][full]
+                    loss[begin] = outer[at[begin]]
+                    total[lo + full] = np.add.reduceat(loss, begin, axis=0)
+        total /= np.maximum(n, 1)[:, None]
+        return pa.table([rows.column(id_col), pa.array(n), pa.array(total[:, 0]), pa.array(total[:, 1]), pa.array(total[:, 1] - total[:, 0])], [id_col, "n_tokens", "loss_target", "loss_background", "score"])
+
+    asked = parts.select("part", "text").mapInArrow(ask, "part long, gram long")
+    zero = F.lit(0).cast("long")
+    known = asked.join(model.counts.hint("merge"), "gram", "left").select("part", "gram", F.coalesce("target", zero).alias("target"), F.coalesce("background", zero).alias("background"))
+    return parts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(judge, f"{id_col} {kind}, n_tokens long, loss_target double, loss_background double, score double")

@@ -312,6 +312,26 @@ def test_lm_scoring(spark):
     assert lm_score.score(df.limit(0), lm_score.fit(df.limit(0), "good", cfg)).count() == 0
 
 
+def test_lm_scoring_counts_every_ngram_apart(spark):
+    """More distinct 5-grams than 2^20: each has its own count, whatever the size of the corpus."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "".join(map(chr, rng.integers(33, 127, 100_000))), i % 2 == 0) for i in range(12)] + [(50, "\0\0\0\0\0ab", True)]
+    df = table(spark, rows, "doc_id long, text string, good boolean").repartition(3)
+    model = lm_score.fit(df, "good")
+    want = Counter()
+    for _, t, _ in rows:
+        s = bytes(4) + t.lower().encode()
+        want.update(s[i : i + 5] for i in range(len(s) - 4))
+    longest = model.counts.filter(F.shiftright("gram", 56) == 5)
+    assert len(want) > 1 << 20 and longest.count() == len(want) and longest.agg(F.max("background")).first()[0] == max(want.values())
+    assert longest.filter("background > 1").count() == sum(n > 1 for n in want.values())
+    some = df.filter("doc_id in (1, 2, 50)")
+    one = lm_score.score(some, model).collect()
+    many = lm_score.score(some, lm_score.LmModel(model.counts, model.totals, lm_score.LmConfig(part_bytes=150_000))).collect()
+    key = lambda rs: {r.doc_id: (r.n_tokens, round(r.loss_target, 9), round(r.score, 9)) for r in rs}
+    assert key(one) == key(many) and len(one) == 3
+
+
 # ---------------------------------------------------------------- 10
 
 
