@@ -6,6 +6,8 @@ stream; that source reports a file once, so it covers additions, not rewrites.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +55,13 @@ def watch(spark, roots: list[str], store: SessionStore, checkpoint: str, once: b
     from kinfold.functions.paths import category, extension, file_name
 
     schema = "path string, modificationTime timestamp, length long, content binary"
-    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(roots[0])
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    stream = reduce(DataFrame.unionByName, [reader.load(root) for root in roots])
     files = stream.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content").withColumn("extension", extension(file_name(F.col("path"))))
     files = files.withColumn("category", category(F.col("extension"))).filter("category is not null")
 
     def merge(batch: DataFrame, _: int) -> None:
+        batch = batch.dropDuplicates(["path"])  # overlapping roots report a file twice
         new = signatures(keyed(batch)).filter("signature is not null").select(*KEYS, "signature")
         store.cache_signatures(new)
 

@@ -126,6 +126,19 @@ def test_stream(spark, tmp_path):
     assert store.read("signature_cache").count() == 1
 
 
+def test_stream_of_many_roots(spark, tmp_path):
+    make(tmp_path / "one", {"a.txt": b"a text of more than ten bytes"})
+    make(tmp_path / "two", {"b.txt": b"another text of more than ten bytes"})
+    make(tmp_path / "two" / "deep", {"c.txt": b"a third text of more than ten bytes"})
+    store = SessionStore(spark, f"file://{tmp_path}/store")
+    roots = [str(tmp_path / p) for p in ("one", "two", "two/deep")]  # the last lies below the second
+    incremental.watch(spark, roots, store, f"{tmp_path}/cp").awaitTermination()
+    assert sorted(r.file_path.rsplit("/", 1)[-1] for r in store.read("signature_cache").collect()) == ["a.txt", "b.txt", "c.txt"]
+    make(tmp_path / "one", {"d.txt": b"a fourth text of more than ten bytes"})
+    incremental.watch(spark, roots, store, f"{tmp_path}/cp").awaitTermination()
+    assert store.read("signature_cache").count() == 4
+
+
 def test_sorter(spark):
     from kinfold.operators import sorter
 
