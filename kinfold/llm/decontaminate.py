@@ -5,8 +5,8 @@ right after a lower-case word, number or comma) and for each unit after a number
 hashed; windows of documents meet windows of benchmark items in a hash join, so a question with other numbers or names meets its source.
 
 A match is then aligned: windows of a document and an item with the same offset. An alignment of at least ``run`` words, or all words of a
-shorter item, is a candidate, and its slots are compared: each filler of the item must stand for one filler of the document and back (3 for 5 everywhere, not 3 for 5
-here and 7 there). With equal fillers that is a verbatim copy; with other but consistent fillers a re-parameterised question; else the match is dropped. At
+shorter item, is a candidate, and its slots are compared inside the windows that match: each filler of the item must stand for one filler of the document, by type of slot
+(3 for 5 everywhere, not 3 for 5 here and 7 there; two fillers of the item may stand for the same one). With equal fillers that is a verbatim copy; with other but consistent fillers a re-parameterised question; else the match is dropped. At
 least ``literals`` of the aligned words must be words and not slots.
 
 Every window of every document takes part. The benchmark's windows are broadcast while they are few (``broadcast_windows``, counted first), else they are joined by
@@ -97,17 +97,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deco
     mine = docs.select(row_id(id_col).alias("row_id"), F.col(id_col).alias("doc_id"), "text").join(near.select("row_id").distinct(), "row_id", "left_semi").distinct()
     both = near.join(mine, "row_id")
     # written, for otherwise the optimizer moves the patterns into the loop over words below
-    both = both.select("item_key", "item_id", "n_words", "shift", "row_id", "doc_id", words(F.col("text")).alias("dw"), words(template(F.col("text"))).alias("dt"), words(F.col("item_text")).alias("iw"), words(template(F.col("item_text"))).alias("it"))
+    both = both.select("item_key", "item_id", "n_words", "size", "shift", "row_id", "doc_id", words(F.col("text")).alias("dw"), words(template(F.col("text"))).alias("dt"), words(F.col("item_text")).alias("iw"), words(template(F.col("item_text"))).alias("it"))
     both = tmp.write(both)
     lined = both.withColumn("pair", F.transform(F.sequence(F.lit(1), F.col("n_words")), lambda i: F.struct(F.get(F.col("dt"), i - 1 + F.col("shift")).alias("dt"), F.get(F.col("it"), i - 1).alias("it"), F.lower(F.get(F.col("dw"), i - 1 + F.col("shift"))).alias("dw"), F.lower(F.get(F.col("iw"), i - 1)).alias("iw"))))
-    same = F.filter("pair", lambda x: x["dt"] == x["it"])
+    # only words inside windows that match count: others are chance
+    equals = F.transform("pair", lambda x: F.coalesce(x["dt"] == x["it"], F.lit(False)))
+    lined = lined.withColumn("eq", equals)
+    starts = F.filter(F.sequence(F.lit(0), F.col("n_words") - F.col("size")), lambda i: F.forall(F.slice("eq", i + 1, F.col("size")), lambda x: x))
+    lined = lined.withColumn("starts", starts).filter(F.size("starts") >= need)
+    same = F.filter("pair", lambda x, i: F.exists("starts", lambda a: (a <= i) & (i < a + F.col("size"))))
     slot = lambda x: x["it"].isin(NUMBER, NAME, UNIT)
-    lined = lined.withColumn("same", same).withColumn("slots", F.array_distinct(F.transform(F.filter("same", slot), lambda x: F.struct(x["iw"].alias("iw"), x["dw"].alias("dw")))))
-    n_slots = F.size("slots")
-    one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda x: x["iw"]))) == n_slots) & (F.size(F.array_distinct(F.transform("slots", lambda x: x["dw"]))) == n_slots)
+    lined = lined.withColumn("same", same).withColumn("slots", F.array_distinct(F.transform(F.filter("same", slot), lambda x: F.struct(x["it"].alias("it"), x["iw"].alias("iw"), x["dw"].alias("dw")))))
+    one_each = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["it"], x["iw"])))) == F.size("slots")
     equal = F.size(F.filter("slots", lambda x: x["iw"] != x["dw"])) == 0
     literal = F.size(F.filter("same", lambda x: ~slot(x)))
-    out = lined.select("row_id", "doc_id", "item_id", "item_key", "n_words", F.size("same").alias("aligned"), equal.alias("verbatim"), one_to_one.alias("consistent"), literal.alias("literal"))
+    out = lined.select("row_id", "doc_id", "item_id", "item_key", "n_words", F.size("same").alias("aligned"), equal.alias("verbatim"), one_each.alias("consistent"), literal.alias("literal"))
     out = out.filter(F.col("consistent") & (F.col("literal") >= cfg.literals))
     best = out.groupBy("row_id", "doc_id", "item_id", "item_key", "n_words").agg(F.max(F.struct("aligned", "verbatim")).alias("b"))
     return best.select("row_id", "doc_id", "item_id", "n_words", F.col("b.aligned").alias("aligned"), F.col("b.verbatim").alias("verbatim"))

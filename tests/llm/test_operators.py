@@ -247,6 +247,27 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_compares_slots_of_matched_windows(spark):
+    long = "every morning the baker puts 5 loaves into the oven and waits until the crust is brown before the shop opens its doors then 5 people wait outside in the cold and talk about the rain that fell all night"
+    two = "a farmer sells 3 apples and 5 pears to the first person who walks into the little market today"
+    units = "the tired runner needs 3 hours 5 minutes to reach the far end of the muddy winter trail"
+    items = table(spark, [(1, long), (2, two), (3, units)], "item_id int, text string")
+    pad = "lorem ipsum dolor sit amet " * 10
+    quote = " ".join(long.split()[:20])
+    texts = {
+        1: pad + quote + " and so we lost 7 " + pad,  # 5 -> 7 only outside the run
+        2: pad + two.replace("3", "4").replace("5", "4") + " " + pad,
+        3: pad + units.replace("minutes", "hours") + " " + pad,
+        4: pad + two.replace("3", "x") + " " + pad,
+        5: pad + long.replace("5 people", "8 people") + " " + pad,  # both windows match, 5 -> 5 and 5 -> 8
+    }
+    # the item's second 5 stands over the 7
+    assert texts[1].split().index("7") - len(pad.split()) == long.split().index("5", 6)
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs_of(spark, list(texts.items())), items).collect()}
+    assert {k: r.verbatim for k, r in got.items()} == {(1, 1): True, (2, 2): False, (3, 3): False, (4, 2): True}
+    assert got[1, 1].aligned == 20
+
+
 # ---------------------------------------------------------------- 8
 
 
