@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
-Words are runs of letters, and numbers with their inner points and commas. A template puts one placeholder word for each number, for each name (a capitalised word
-right after a lower-case word, number or comma) and for each unit after a number; the rest is lower-cased. Templates of ``window`` words are
-hashed; windows of documents meet windows of benchmark items in a hash join, so a question with other numbers or names meets its source.
+Words are runs of letters, and numbers with their inner points and commas. A template puts one placeholder word for each number, for each name and for each unit after a
+number; the rest is lower-cased. A text has three templates, by what is a name: a capitalised word right after a lower-case word, number or comma (not at the start of a sentence), any
+capitalised word (so names at the start of sentences may change), or none (so a copy in other case meets its source). Windows of ``window`` words are hashed in all three; windows of
+documents meet windows of benchmark items in a hash join, so a question with other numbers or names meets its source.
 
-A match is then aligned: windows of a document and an item with the same offset. An alignment of at least ``run`` words, or all words of a
+A match is then aligned: windows of a document and an item with the same offset. It is judged under each template, and one that holds is enough. An alignment of at least ``run`` words, or all words of a
 shorter item, is a candidate, and its slots are compared inside the windows that match: each filler of the item must stand for one filler of the document, by type of slot
 (3 for 5 everywhere, not 3 for 5 here and 7 there; two fillers of the item may stand for the same one). With equal fillers that is a verbatim copy; with other but consistent fillers a re-parameterised question; else the match is dropped. At
 least ``literals`` of the aligned words must be words and not slots.
@@ -28,6 +29,9 @@ from kinfold.llm import shared
 # Units of measure that follow a number.
 UNITS = "km|cm|mm|kg|mg|lbs|lb|oz|ml|mph|kmh|kwh|hz|khz|mhz|ghz|kb|mb|gb|tb|usd|eur|dollars|dollar|euros|euro|cents|percent|meters|meter|metres|metre|miles|mile|feet|foot|inches|inch|grams|gram|litres|litre|liters|liter|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year"
 NUMBER, NAME, UNIT = "0", "ǂ", "ǁ"
+#: What stands for a name in each template.
+INNER, ANY, NONE = r"(?<=[\p{Ll}0,;:] )\p{Lu}\p{L}+", r"(?<!\p{L})\p{Lu}\p{L}+", ""
+NAMES = (INNER, ANY, NONE)
 _WORD = r"\p{L}+|\p{N}+(?:[.,]\p{N}+)*"
 
 
@@ -44,21 +48,30 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
-def template(text: Column) -> Column:
-    """The text with placeholders; word i of it stands for word i of the text."""
+def template(text: Column, names: str = INNER) -> Column:
+    """The text with placeholders; word i of it stands for word i of the text, whichever words are ``names``."""
     t = F.regexp_replace(text, r"\p{N}+(?:[.,]\p{N}+)*", NUMBER)
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}0,;:] )\p{Lu}\p{L}+", NAME)
+    if names:
+        t = F.regexp_replace(t, names, NAME)
     t = F.regexp_replace(t, rf"(?<=0 ?)(?i:{UNITS})(?!\p{{L}})", UNIT)
     return F.lower(t)
 
 
-def _hashed(col: Column) -> Column:
-    return F.transform(words(col), lambda w: F.xxhash64(w))
+def _hashed(text: Column) -> Column:
+    """Hashes of the words of each template."""
+    return F.array(*[F.transform(words(template(text, names)), lambda w: F.xxhash64(w)) for names in NAMES])
 
 
 def _windows(h: Column, size: int) -> Column:
-    """Hashes of all windows of ``size`` words, in order."""
-    return F.when(F.size(h) >= size, F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.xxhash64(F.slice(h, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    """The different hashes of each window of ``size`` words, in order."""
+    n = F.size(F.get(h, F.lit(0)))
+    each = lambda i: F.array_distinct(F.array(*[F.xxhash64(F.slice(F.get(h, F.lit(f)), i, size)) for f in range(len(NAMES))]))
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), each)).otherwise(F.array().cast("array<array<bigint>>"))
+
+
+def _cut(rows: DataFrame, key: str, pos: str, size: int) -> DataFrame:
+    """(key, pos, w) of all windows of ``size`` words."""
+    return rows.select(key, F.posexplode(_windows(F.col("h"), size)).alias(pos, "ws")).select(key, pos, F.explode("ws").alias("w")).withColumn("w", F.col("w") + size)
 
 
 def row_id(id_col: str) -> Column:
@@ -71,20 +84,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deco
     spark = docs.sparkSession
     tmp = shared.Scratch(spark, "decontaminate")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text").alias("item_text")).filter("item_text is not null").distinct()
-    items = items.withColumn("h", _hashed(template(F.col("item_text")))).withColumn("n_words", F.size("h")).filter(F.col("n_words") >= cfg.shortest)
+    items = items.withColumn("h", _hashed(F.col("item_text"))).withColumn("n_words", F.size(F.get("h", F.lit(0)))).filter(F.col("n_words") >= cfg.shortest)
     items = items.withColumn("size", F.least(F.col("n_words"), F.lit(cfg.window)))
     items = tmp.write(items.withColumn("item_key", F.xxhash64("item_id", "item_text")))
     short = sorted(r[0] for r in items.filter(F.col("n_words") < cfg.window).select("size").distinct().collect())  # at most window - shortest numbers
     sizes = [cfg.window, *short]
-    cuts = [items.filter(F.col("size") == s).select("item_key", F.posexplode(_windows(F.col("h"), s)).alias("ipos", "w")).withColumn("w", F.col("w") + s) for s in sizes]
+    cuts = [_cut(items.filter(F.col("size") == s), "item_key", "ipos", s) for s in sizes]
     target = cuts[0]
     for c in cuts[1:]:
         target = target.unionByName(c)
     target = tmp.write(target)
     few = target.count() <= cfg.broadcast_windows
-    rows = docs.filter("text is not null").select(row_id(id_col).alias("row_id"), template(F.col("text")).alias("t"))
-    rows = rows.select("row_id", _hashed(F.col("t")).alias("h"))
-    found = [rows.select("row_id", F.posexplode(_windows(F.col("h"), s)).alias("dpos", "w")).withColumn("w", F.col("w") + s).join(F.broadcast(target) if few else target, "w") for s in sizes]
+    rows = docs.filter("text is not null").select(row_id(id_col).alias("row_id"), _hashed(F.col("text")).alias("h"))
+    found = [_cut(rows, "row_id", "dpos", s).join(F.broadcast(target) if few else target, "w") for s in sizes]
     hits = found[0]
     for c in found[1:]:
         hits = hits.unionByName(c)
@@ -97,7 +109,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deco
     mine = docs.select(row_id(id_col).alias("row_id"), F.col(id_col).alias("doc_id"), "text").join(near.select("row_id").distinct(), "row_id", "left_semi").distinct()
     both = near.join(mine, "row_id")
     # written, for otherwise the optimizer moves the patterns into the loop over words below
-    both = both.select("item_key", "item_id", "n_words", "size", "shift", "row_id", "doc_id", words(F.col("text")).alias("dw"), words(template(F.col("text"))).alias("dt"), words(F.col("item_text")).alias("iw"), words(template(F.col("item_text"))).alias("it"))
+    both = both.select("item_key", "item_id", "n_words", "size", "shift", "row_id", "doc_id", words(F.col("text")).alias("dw"), words(F.col("item_text")).alias("iw"), F.explode(F.array(*[F.struct(words(template(F.col("text"), f)).alias("dt"), words(template(F.col("item_text"), f)).alias("it")) for f in NAMES])).alias("m"))
+    both = both.select("*", "m.dt", "m.it").drop("m")
     both = tmp.write(both)
     lined = both.withColumn("pair", F.transform(F.sequence(F.lit(1), F.col("n_words")), lambda i: F.struct(F.get(F.col("dt"), i - 1 + F.col("shift")).alias("dt"), F.get(F.col("it"), i - 1).alias("it"), F.lower(F.get(F.col("dw"), i - 1 + F.col("shift"))).alias("dw"), F.lower(F.get(F.col("iw"), i - 1)).alias("iw"))))
     # only words inside windows that match count: others are chance

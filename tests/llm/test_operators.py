@@ -268,6 +268,23 @@ def test_decontamination_compares_slots_of_matched_windows(spark):
     assert got[1, 1].aligned == 20
 
 
+def test_decontamination_of_names_at_sentence_starts(spark):
+    item = "Alice has 3 apples. Bob gives Alice 5 apples. How many apples does Alice have?"
+    quoted = '"Maria" walked to the old mill near the river and sold 12 eggs to the miller before noon'
+    items = table(spark, [(1, item), (2, quoted)], "item_id int, text string")
+    texts = {
+        1: "Carol has 4 apples. David gives Carol 7 apples. How many apples does Carol have?",
+        2: item.lower(),
+        3: "Carol has 4 apples. David gives Erin 7 apples. How many apples does Carol have?",  # Alice is two people
+        4: item,
+        5: "Then (Petra) walked to the old mill near the river and sold 15 eggs to the miller before noon",
+        6: "Some Other Words Stand Here In Capital Letters And Tell Of Nothing At All",
+        7: "Later: " + quoted.replace("12", "9").replace("Maria", "Olga"),
+    }
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.find_leaks(docs_of(spark, list(texts.items())), items).collect()}
+    assert got == {(1, 1): False, (2, 1): True, (4, 1): True, (5, 2): False, (7, 2): False}
+
+
 # ---------------------------------------------------------------- 8
 
 
