@@ -22,8 +22,8 @@ Writing: documents are dealt by ranges of their id, sorted within the range and
 publishes only whole files. Reading decodes each shard on its own. Shards end after ``shard_tokens`` ids (a longer document makes a longer
 shard of its own), so no task holds more than one shard beside its input.
 
-Defined cases: a null text is an empty text: it has only the end id. Rows with equal ids stay, in order of their text. Null ids come first. An empty
-table gives an empty store. Extra columns are ignored.
+Defined cases: a null text is an empty text: it has only the end id. Rows with equal ids stay, in order of their text. Null ids come first. Ids are integers of any
+width; other types are cast to long, and one that does not parse is an error, as the order of the store is that of the numbers. An empty table gives an empty store. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -161,14 +161,18 @@ _LETTER = "a-zªµºß-öø-ɏ"
 _NUMBER = "0-9²³¹¼½¾"
 _SPACE = "\t-\r \x85\xa0"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-#: Texts with any of these go through the library whole: other scripts, controls, letters whose lower case is longer, added tokens.
+#: Texts with any of these, as they are or in lower case, go through the library whole: other scripts, controls, letters whose lower case is longer, added tokens.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ɏ]|<\\|")
 
 
-def _unusual(text: str) -> bool:
+def _words(text: str) -> list[str] | None:
+    """The words of the lower-cased text; None where it must go through the library whole."""
+    low = text.lower()
     if text.isascii():  # a few scans for one character each are quicker than the pattern
-        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
-    return _UNUSUAL.search(text) is not None
+        odd = "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+    else:  # some letters of the short way's scripts have their small form outside of them
+        odd = _UNUSUAL.search(text) is not None or _UNUSUAL.search(low) is not None
+    return None if odd else low.split()
 
 
 #: Words that a worker remembers at most; beyond it the memory starts anew (results do not change).
@@ -228,7 +232,7 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. No piece spans white space, so a text's ids are those of its words end to end."""
-        short = [None if not self.short or _unusual(t) else t.lower().split() for t in texts]
+        short = [_words(t) if self.short else None for t in texts]
         if len(self.memo) > MEMO:
             self.memo = {}
         get = self.memo.get

@@ -134,6 +134,19 @@ def test_token_round_trip(spark, tmp_path):
     assert token_store.read_store(spark, path + "0").count() == 0
 
 
+_LATIN = st.text(st.characters(max_codepoint=0x24F), max_size=30)
+_ANY = st.text(st.characters(exclude_categories=["Cs"]), max_size=30)
+_NEAR = st.text("aAbB eE'sStTəƏƐɛƁĀāßẞİı’ \u0301<|>ǅǄŉſK3½²,.\x85\xa0\x1c ", max_size=30)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(_LATIN, _ANY, _NEAR), max_size=6))
+def test_encoder_is_the_library(texts):
+    enc = token_store.Encoder.of(queries.vocabulary())
+    for t in [*texts, "Əli", "Ɛna", "Ɓala", "Ɔkɔ Ɖ Ɣ"]:
+        assert enc(t).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+
+
 # ---------------------------------------------------------------- 4
 
 
