@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +40,10 @@ class JaccardConfig:
     shingle: int = 5
     percent: int = 80
     slack: float = 0.1
-    chunk: int = 512
+    chunk: int = 1024
     largest: int = 1 << 40
+    range_bytes: int = 8 << 20
+    hot: int = 64
 
     def bands(self) -> list[tuple[int, int, int, int]]:
         """(smallest size, largest size, parts, slack) of each band; no parts where linked sets must be equal."""
@@ -88,8 +91,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return own[keep], g[keep]
 
 
-def _keys(own: np.ndarray, g: np.ndarray, n: np.ndarray, band: np.ndarray, parts: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the family ``band + shift`` of each document of ``n`` shingles: how many each has, and all of them."""
+def _keys(own: np.ndarray, g: np.ndarray, n: np.ndarray, band: np.ndarray, parts: np.ndarray, shift: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the family ``band + shift`` of each document of ``n`` shingles: how many each has, and all of them. The last bit tells even families from odd ones."""
     fam = band + shift
     p = np.where(n > 0, parts[fam], 0)
     base = np.cumsum(p) - p
@@ -103,19 +106,157 @@ def _keys(own: np.ndarray, g: np.ndarray, n: np.ndarray, band: np.ndarray, parts
     doc = np.repeat(np.arange(len(n)), p)
     part = np.arange(len(value)) - base[doc]
     tag = shared.mix((fam[doc].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64) + np.uint64(1))
-    key = shared.mix(value + tag) >> np.uint64(14) << np.uint64(1) | (fam[doc] & 1).astype(np.uint64)
-    return p, key.astype(np.int64)
+    return p, shared.mix(value + tag) >> np.uint64(65 - bits) << np.uint64(1) | (fam[doc] & 1).astype(np.uint64)
+
+
+#: Rows of the packed table: keys of sets in blocks, sizes of rows, sets of frequent keys.
+_BLOCK, _SIZES, _OFTEN = 0, 1, 2
+_PACKED = "kind byte, range int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary, p5 binary"
+#: Rows of what it is answered with: sizes of rows, shared keys of sets, keys of sets that wait for their count, those counts.
+SIZE, MET, WAITING, COUNT = 0, 1, 2, 3
+#: Keys and sets of one block; a set's place in its block has 14 bits.
+_BLOCK_KEYS, _BLOCK_SETS = 1 << 21, 1 << 14
+
+
+def _layout(docs: DataFrame, cfg: JaccardConfig) -> tuple[int, int]:
+    """Ranges of keys and bits of a key, by the size of the table as the plan knows it (measured where it does not). They shape the work and the number of candidates, never the result."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a byte of text makes less than one key, so chance agreement of two keys stays under one in 2 ** 14
+    return max(16, min(1 << 20, size // cfg.range_bytes)), max(40, min(63, size.bit_length() + 14))
+
+
+def _packed(lists) -> pa.Array:
+    return pa.array([x.tobytes() for x in lists], pa.binary())
+
+
+def _block(key: np.ndarray, who: np.ndarray, name: np.ndarray, ranges: int, bits: int, hot: int):
+    """Packed rows of sorted keys, of sets ``who`` (places in ``name``): by range first key, steps, places, sets, frequent keys and their counts; frequent keys with their sets apart."""
+    n = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+    first = np.cumsum(n) - n
+    often = n > hot
+    hot_key, hot_n, warm = key[first[often]], n[often], np.repeat(~often, n)
+    apart_key, apart_who, key, who = key[~warm], who[~warm], key[warm], who[warm]
+    of = lambda k: (k >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)
+    edges = np.arange(ranges + 1, dtype=np.uint64)
+    cut, cut_hot = np.searchsorted(of(key), edges), np.searchsorted(of(hot_key), edges)
+    live = np.flatnonzero((np.diff(cut) > 0) | (np.diff(cut_hot) > 0))
+    for lo in range(0, len(live), 256):
+        some, rows = live[lo : lo + 256], []
+        for r in some.tolist():
+            part = key[cut[r] : cut[r + 1]]
+            step = np.diff(part, prepend=part[:1])
+            own, place = np.unique(who[cut[r] : cut[r + 1]], return_inverse=True)
+            wide = len(step) and int(step.max()) >= 1 << 32
+            rows.append((part[:1], step if wide else step.astype(np.uint32), place.astype(np.uint16), name[own], hot_key[cut_hot[r] : cut_hot[r + 1]], hot_n[cut_hot[r] : cut_hot[r + 1]]))
+        yield [_BLOCK, some, *map(_packed, zip(*rows, strict=True))]
+    for lo in range(0, len(apart_key), 1 << 16):
+        s = slice(lo, lo + (1 << 16))
+        # dealt by what they hold; only the spread matters
+        yield [_OFTEN, np.array([int(apart_key[lo] + name[apart_who[lo]]) % ranges]), *map(_packed, [[apart_key[s]], [name[apart_who[s]]], *[[np.zeros(0)]] * 4])]
+
+
+def _answers(t: pa.Table) -> pa.Table:
+    """The answer to one range of keys, or the rows of other blocks as they are."""
+    kind = t.column("kind")[0].as_py()
+    col = [t.column(f"p{i}").combine_chunks() for i in range(6)]
+    get = lambda c, dtype: [np.frombuffer(x.as_buffer(), dtype) for x in col[c]]
+    if kind == _SIZES:
+        unknown = np.concatenate(get(1, np.int64)) == 0
+        out = [SIZE, pa.array(np.concatenate(get(0, np.int64)), mask=unknown), *(np.concatenate(get(i, np.int64)) for i in (2, 3, 4))]
+        return _answer([out])
+    if kind == _OFTEN:
+        return _answer([[WAITING, np.concatenate(get(0, np.int64)), np.concatenate(get(1, np.int64))]])
+    keys, names = [], []
+    for start, step, place, name in zip(get(0, np.uint64), col[1], get(2, np.uint16), get(3, np.uint64), strict=True):
+        if len(place):
+            step = np.frombuffer(step.as_buffer(), np.uint64 if len(step.as_buffer()) == 8 * len(place) else np.uint32)
+            keys.append(np.cumsum(step, dtype=np.uint64) + start)
+            names.append(name[place])
+    often, n_often = np.concatenate(get(4, np.uint64)), np.concatenate(get(5, np.int64))
+    out = []
+    hot, at = np.unique(often, return_inverse=True)
+    total = np.bincount(at, n_often, len(hot)).astype(np.int64)
+    if keys:
+        key, name = np.concatenate(keys), np.concatenate(names)
+        order = np.argsort(key)
+        key, name = key[order], name[order]
+        same = np.append(False, key[1:] == key[:-1])
+        several = same | np.append(same[1:], False)
+        if len(hot):
+            several |= hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        key, name = key[several], name[several]
+        # a set that several tasks gave counts once
+        order = np.lexsort((name, key))
+        key, name = key[order], name[order]
+        once = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])) if len(key) else np.zeros(0, bool)
+        key, name = key[once], name[once]
+        own, back, n = np.unique(key, return_inverse=True, return_counts=True)
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+            n = n + np.where(hot[place] == own, total[place], 0)
+            extra = np.minimum(np.searchsorted(own, hot), max(0, len(own) - 1))
+            total = np.where(own[extra] == hot, n[extra], total) if len(own) else total
+        f = n[back]
+        keep = f > 1
+        out.append([MET, key[keep].view(np.int64), name[keep].view(np.int64), f[keep]])
+    if len(hot):
+        out.append([COUNT, hot.view(np.int64), None, total])
+    return _answer(out)
+
+
+def _answer(parts: list[list]) -> pa.Table:
+    tables = []
+    for kind, *cols in parts:
+        n = len(cols[0])
+        cols += [None] * (4 - len(cols))
+        tables.append(pa.table([pa.array(np.full(n, kind, np.int8)), *(pa.nulls(n, pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(c) for c in cols)], ["kind", "a", "b", "c", "d"]))
+    return pa.concat_tables(tables) if tables else pa.table({"kind": pa.array([], pa.int8()), **{c: pa.array([], pa.int64()) for c in "abcd"}})
 
 
 def sketches(docs: DataFrame, cfg: JaccardConfig, id_col: str) -> DataFrame:
-    """Per row: id, n, a 128-bit hash of the set (c1, c2) and its keys; a task gives the keys of equal sets once."""
+    """Rows (kind, a, b, c, d). SIZE: id, n, c1, c2 (a 128-bit hash of the set) of each row of ``docs``. MET: key, c1, number of sets with the key; WAITING: key, c1 of sets
+    whose count is in COUNT: key, -, count. One pass over the texts, one shuffle of packed keys.
+
+    A task packs the keys of its different sets in sorted blocks, one row a range of keys and about six bytes a key. Who gets a range sorts its keys and answers those that several
+    sets have. A key of more than ``hot`` sets of a block is counted there and its sets travel as rows of their own, so what meets in a range grows with the number of tasks, not with a key.
+    """
     bands = cfg.bands()
     low, parts = np.array([b[0] for b in bands]), np.array([b[2] for b in bands] + [0])
+    ranges, bits = _layout(docs, cfg)
 
     def run(batches):
+        shared.claim("jaccard")
+        here = TaskContext.get().partitionId()
         seen: set[tuple[int, int]] = set()
+        keys, who, names, sizes = [], [], [], []
+
+        def rows(found):
+            for kind, of, *cols in found:
+                n = len(of)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.asarray(of, np.int32)), *cols], ["kind", "range", *(f"p{i}" for i in range(6))])
+
+        def block():
+            key, place = np.concatenate(keys), np.concatenate(who)
+            if bits <= 50:  # place and key sort as one number
+                key <<= np.uint64(14)
+                key |= place
+                key.sort()
+                place, key = (key & np.uint64((1 << 14) - 1)).astype(np.uint16), key >> np.uint64(14)
+            else:
+                order = np.argsort(key)
+                key, place = key[order], place[order].astype(np.uint16)
+            yield from rows(_block(key, place, np.concatenate(names), ranges, bits, cfg.hot))
+
+        def described():
+            cols = [[x] for x in np.concatenate(sizes, axis=1)] + [[np.zeros(0)]]
+            yield from rows([[_SIZES, [here % ranges], *map(_packed, cols)]])
+
+        n_names = n_keys = n_sizes = 0
         for batch in batches:
             known = ~np.asarray(batch.column(0).is_null())
+            ids = batch.column(0).fill_null(0).to_numpy()
             for lo, hi, data, off in shared.chunks(shared.utf8(batch, "text", lower=False)):
                 own, g = shingle_sets(shared.ASCII_LOWER[data], off, cfg.shingle)
                 n = np.bincount(own, minlength=hi - lo)
@@ -124,25 +265,42 @@ def sketches(docs: DataFrame, cfg: JaccardConfig, id_col: str) -> DataFrame:
                     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                     c1[own[first]] = np.add.reduceat(g, first)
                     c2[own[first]] = np.add.reduceat(shared.mix(g ^ np.uint64(0x5851F42D4C957F2D)), first)
-                new = np.zeros(hi - lo, bool)
-                for i in np.flatnonzero((n > 0) & known[lo:hi]):
+                sizes.append(np.stack([ids[lo:hi], known[lo:hi].astype(np.int64), n, c1.view(np.int64), c2.view(np.int64)]))
+                n_sizes += hi - lo
+                new = []
+                for i in np.flatnonzero((n > 0) & known[lo:hi]).tolist():
                     name = (int(c1[i]), int(c2[i]))
                     if name not in seen:
                         seen.add(name)
-                        new[i] = True
+                        new.append(i)
                 band = np.searchsorted(low, np.maximum(n, 1), "right") - 1
-                m, live = np.where(new, n, 0), new[own]
-                n0, k0 = _keys(own[live], g[live], m, band, parts, 0)
-                n1, k1 = _keys(own[live], g[live], m, band, parts, 1)
-                # document by document, own band first
-                both, ends = np.empty(len(k0) + len(k1), np.int64), np.cumsum(n0 + n1)
-                start = ends - n0 - n1
-                both[np.arange(len(k0)) + np.repeat(start - (np.cumsum(n0) - n0), n0)] = k0
-                both[np.arange(len(k1)) + np.repeat(start + n0 - (np.cumsum(n1) - n1), n1)] = k1
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(both))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), listed], ["id", "n", "c1", "c2", "keys"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), "text").mapInArrow(run, "id long, n long, c1 long, c2 long, keys array<long>")
+                for at in range(0, len(new), _BLOCK_SETS):
+                    some = np.array(new[at : at + _BLOCK_SETS])
+                    if n_keys and (n_names + len(some) > _BLOCK_SETS or n_keys > _BLOCK_KEYS):
+                        yield from block()
+                        keys, who, names, n_names, n_keys = [], [], [], 0, 0
+                    place = np.full(hi - lo, -1)
+                    place[some] = n_names + np.arange(len(some))
+                    live = place[own] >= 0
+                    for shift in (0, 1):
+                        count, k = _keys(own[live], g[live], np.where(place >= 0, n, 0), band, parts, shift, bits)
+                        keys.append(k)
+                        who.append(np.repeat(np.maximum(place, 0), count).astype(np.uint64))
+                        n_keys += len(k)
+                    names.append(c1[some])
+                    n_names += len(some)
+            if n_sizes > 1 << 16:
+                yield from described()
+                sizes, n_sizes = [], 0
+        if n_keys:
+            yield from block()
+        if n_sizes:
+            yield from described()
+        del keys, who, names, sizes, seen
+        shared.release()
+
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), "text").mapInArrow(run, _PACKED)
+    return packed.groupBy("kind", "range").applyInArrow(_answers, "kind byte, a long, b long, c long, d long")
 
 
 def _sets(docs: DataFrame, cfg: JaccardConfig, id_col: str) -> DataFrame:
@@ -205,15 +363,17 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return total.astype(np.int64)
 
 
-def _across(groups: DataFrame, sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
+def _across(groups: DataFrame, sets: DataFrame, cfg: JaccardConfig, tmp: shared.Scratch) -> DataFrame:
     """Links (a, b) between documents of one group (lead, id, root) that lie in different components.
 
     A group is dealt in chunks of about ``chunk`` documents by a hash; a task judges two chunks, all pairs by matrix products, and gives only a spanning forest of the links
     it found. No pair is a row, and no task grows with a group.
     """
     percent = cfg.percent
-    size = groups.groupBy("lead").agg(F.count("*").alias("k"), (F.min("root") != F.max("root")).alias("x")).filter("x")
-    dealt = groups.join(size.select("lead", F.ceil(F.col("k") / cfg.chunk).cast("int").alias("k")), "lead").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    size = groups.groupBy("lead").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+    # written, so the plan knows its size: a small one is sent to the groups where they lie, a large one meets them in a merge join, whose hot groups AQE splits
+    size = tmp.write(size.select("lead", F.ceil(F.col("n") / cfg.chunk).cast("int").alias("k")))
+    dealt = groups.join(size, "lead").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     dealt = dealt.join(sets, "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cells = dealt.select("lead", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "root", "set")
 
@@ -246,37 +406,32 @@ def near_duplicates(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_co
     """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
     tmp = shared.Scratch(spark, "jaccard")
-    sig = tmp.write(sketches(docs, cfg, id_col))
-    sizes = tmp.write(sig.select("id", "n"))
+    told = tmp.write(sketches(docs, cfg, id_col))
+    tmp.drop()
+    sizes = tmp.write(told.filter(F.col("kind") == SIZE).select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("c1"), F.col("d").alias("c2")))
     # Documents with equal sets are one node, named by their smallest id. The aggregate is done before the shuffle, so a hot set is one row a task.
-    named = sig.filter("n > 0 and id is not null")
-    least = named.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
+    named = sizes.filter("n > 0 and id is not null")
+    node = tmp.write(named.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
     # The other side of this join is as skewed as the copies are; a row has 32 bytes and AQE splits what is hot.
-    member = tmp.write(named.select("id", "n", "c1", "c2").join(least, ["c1", "c2"]).select("id", "n", "rep"))
-
-    rows = sig.filter(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
-    # written before the keys cross the network again, so that the first crossing's files are gone by then
-    often = tmp.write(rows.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1"))
-    tmp.drop()
-    met = rows.join(often, "key")
-    node = member.select("id", "rep", "n").distinct()
-    met = met.join(node, "id").groupBy("key", "rep").agg(F.max("f").alias("f"), F.max("n").alias("n"))
-    met = tmp.write(met)
-    tmp.drop(sig, often)
-    several = met.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    met2 = met.join(several, "key", "left_semi")
-    # leave out the s most frequent keys that a document shows in a family; a document has few, so the window is small whatever the table
+    member = tmp.write(named.select("id", "c1", "c2").join(node.select("c1", "c2", "rep"), ["c1", "c2"]).select("id", "rep"))
+    # the sets of keys that are frequent within a task get the count of all tasks; a merge join, whose hot keys AQE splits
+    met = told.filter(F.col("kind") == MET).select(F.col("a").alias("key"), F.col("b").alias("c1"), F.col("c").alias("f"))
+    waiting = told.filter(F.col("kind") == WAITING).select(F.col("a").alias("key"), F.col("b").alias("c1"))
+    count = told.filter(F.col("kind") == COUNT).select(F.col("a").alias("key"), F.col("c").alias("f"))
+    met = met.unionByName(waiting.join(count, "key").distinct().select("key", "c1", "f"))
+    # leave out the s most frequent keys that a set shows in a family; a set has few, so the window is small whatever the table, and it needs no exchange but the join's
     bands = cfg.bands()
     edges, slack = F.array(*[F.lit(int(b[0])).cast("long") for b in bands]), F.array(*[F.lit(int(b[3])) for b in bands], F.lit(0))
     band = F.size(F.filter(edges, lambda e: e <= F.col("n")))  # 1-based place of the own band
     family = F.when(F.pmod(band - 1, F.lit(2)) == F.col("key").bitwiseAND(F.lit(1)), band).otherwise(band + 1)
-    ranked = met2.withColumn("family", family).withColumn("rank", F.row_number().over(Window.partitionBy("rep", "family").orderBy(F.desc("f"), "key")))
-    left = tmp.write(ranked.filter(F.col("rank") > F.element_at(slack, F.col("family"))).select("key", "rep", "n"))
-    tmp.drop(met)
+    placed = met.join(node.select("c1", "c2", "rep", "n"), "c1").withColumn("family", family)
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("c1", "c2", "family").orderBy(F.desc("f"), "key")))
+    left = tmp.write(ranked.filter(F.col("rank") > F.element_at(slack, F.col("family"))).select("key", "rep"))
+    tmp.drop(told)
 
     lead = left.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
     tried = tmp.write(left.join(lead, "key").filter("rep != a").select("a", F.col("rep").alias("b")).distinct())
-    tmp.drop(left)
+    tmp.drop(left, node)
     # One pass over the texts of documents in a pair; by merge at every size, so that what is moved follows the input.
     ids = tried.select(F.explode(F.array("a", "b")).alias("_id")).distinct().hint("merge")
     sets = tmp.write(_sets(docs.join(ids, F.col(id_col).cast("long") == F.col("_id"), "left_semi"), cfg, id_col))
@@ -286,20 +441,26 @@ def near_duplicates(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_co
     # Two documents of a key have its first document in common. So every candidate pair lies in the group of some first document: judge those groups that still are in several components.
     groups = tried.select(F.col("a").alias("lead"), F.col("b").alias("id")).unionByName(tried.select(F.col("a").alias("lead"), F.col("a").alias("id")).distinct())
     groups = tmp.write(groups.join(roots, groups["id"] == roots["node"], "left").select("lead", "id", F.coalesce("root", "id").alias("root")))
-    more = tmp.write(_across(groups, sets, cfg))
-    tmp.drop(sets, groups)
+    more = tmp.write(_across(groups, sets, cfg, tmp))
+    tmp.drop(sets, groups, tried, roots)
     roots = tmp.write(shared.components(links.unionByName(more), tmp))
+    tmp.drop(links, more)
     near = roots.withColumnRenamed("node", "rep")
     placed = member.join(near, "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
-    out = sizes.join(placed, "id", "left")
+    out = sizes.select("id", "n").join(placed, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the smallest id of each class; of rows that share an id the one with the smallest text. Rows without an id stay."""
+    """``docs`` with one row of each class: that with the smallest id (null last). Rows are told apart by (id, text), so rows that share an id but are no near-duplicates all stay,
+    and rows without an id take part; of rows equal in both one stays. Texts without words are linked with nothing and all stay, each (id, text) once."""
     tmp = shared.Scratch(docs.sparkSession, "one-of-each")
-    keep = near_duplicates(docs, cfg, id_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
+    row = F.xxhash64(F.col(id_col), F.col("text"))
+    places = tmp.write(near_duplicates(docs.select(row.alias("_row"), "text"), cfg, "_row").select("_row", "component_id").distinct())
+    name = docs.select(row.alias("_row"), F.col(id_col).alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row")))
+    keep = name.join(places, "_row").groupBy("component_id").agg(first.alias("k")).select(F.col("k._row").alias("_keep"))
     keep = tmp.write(keep)
-    stay = docs.join(keep, F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
-    first = stay.withColumn("_rank", F.row_number().over(Window.partitionBy(id_col).orderBy("text"))).filter("_rank = 1").drop("_rank")
-    return first.unionByName(docs.filter(F.col(id_col).isNull()))
+    stay = docs.withColumn("_row", row).join(keep, F.col("_row") == F.col("_keep"), "left_semi")
+    once = stay.withColumn("_rank", F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns)))).filter("_rank = 1")
+    return once.drop("_rank", "_row")

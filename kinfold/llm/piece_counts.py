@@ -114,6 +114,7 @@ class Automaton:
 
 
 _BUILT: dict[tuple, Automaton] = {}
+shared.keeps("pieces", _BUILT.clear)
 
 
 def _automaton(path: str, prefix: bytes | None) -> Automaton:
@@ -128,6 +129,7 @@ def count_pieces(docs: DataFrame, vocabulary: str, prefix: bytes | None = None,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        shared.claim("pieces")
         auto = _automaton(vocabulary, prefix)
         for batch in batches:
             out = np.zeros((3, batch.num_rows), np.int64)

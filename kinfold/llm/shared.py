@@ -7,9 +7,11 @@ one numpy call covers megabytes of text and no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/kinfold/{label}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        self.paths: list[tuple[DataFrame, str]] = []
 
     def path(self) -> str:
         self.n += 1
@@ -51,16 +53,16 @@ class Scratch:
         at = self.path()
         df.write.option("compression", "zstd").parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
-        self.paths[id(out)] = at
+        self.paths.append((out, at))
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing still reads, and let Spark drop shuffle files that nothing refers to."""
         jvm = self.spark.sparkContext._jvm
-        for df in tables:
-            if at := self.paths.pop(id(df), None):
-                path = jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for at in [at for df, at in self.paths if any(df is x for x in tables)]:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = [(df, at) for df, at in self.paths if not any(df is x for x in tables)]
         jvm.System.gc()
 
 
@@ -69,6 +71,35 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(True))
 
 
+# ---------------------------------------------------------------- memory of workers
+
+#: What operators keep in a worker process between tasks: name, and how to let it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, clear: Callable[[], None]) -> None:
+    """An operator's module says how to drop what it keeps in a worker (vocabularies, remembered words)."""
+    _KEPT[name] = clear
+
+
+def claim(name: str) -> None:
+    """Called first in a task: a worker is used again by other operators, and holds the belongings of one at a time."""
+    for other, clear in _KEPT.items():
+        if other != name:
+            clear()
+    release()
+
+
+def release() -> None:
+    """Give free memory back to the machine, so a worker that waits for its next task is small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc: the allocator decides
+        pass
+
+
 # ---------------------------------------------------------------- bytes of texts
 
 SPACE, WORD, MARK = 0, 1, 2

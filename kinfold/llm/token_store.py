@@ -247,10 +247,14 @@ class Encoder:
         return self.many([text])[0]
 
 
+shared.keeps("tokens", Encoder._held.clear)
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", shard_tokens: int = 1 << 20) -> DataFrame:
     """Encode ``docs`` (id, text) into a store at ``path``, in ascending id order, and return the shards as written."""
 
     def encode(batches: Iterable[pa.RecordBatch]):
+        shared.claim("tokens")
         enc, end = Encoder.of(tokenizer), np.array([end_id], np.uint32)
         ids: list[np.ndarray] = []
         names: list[int | None] = []
