@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from kinfold.schema import CATEGORIES, EXCLUDED_DIRS, EXTENSIONS
 
 
+def local_path(path: str) -> str:
+    """A path of the local file system without its scheme; others as they are."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def plain_path(path: Column) -> Column:
+    """``local_path`` of a column."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
@@ -26,10 +36,6 @@ def category(ext: Column) -> Column:
     return out
 
 
-def is_category(label: Column) -> Column:
-    return label.isin(*CATEGORIES)
-
-
 def in_excluded_dir(path: Column) -> Column:
     """True if any directory of the path (its last part is the file) is on the list of skipped names."""
     parts = F.split(path, "/")

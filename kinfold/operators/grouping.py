@@ -28,11 +28,6 @@ def exact_members(files: DataFrame, sig: str = "signature") -> DataFrame:
     return files.withColumnRenamed(sig, "signature").join(groups, ["category", "signature"]).select("path", "category", "signature", "group_path")
 
 
-def collected(members: DataFrame) -> DataFrame:
-    """Groups as rows with a sorted array of paths, for groups that fit a row."""
-    return members.groupBy("category", "group_path").agg(F.array_sort(F.collect_list("path")).alias("files"))
-
-
 def bucket_sizes(files: DataFrame, sig: str = "signature", length: int = 8) -> DataFrame:
     """Files in each prefix bucket and the pairs it would compare."""
     known = files.filter(F.col(sig).isNotNull())
@@ -79,17 +74,29 @@ def strict_groups(similar: DataFrame) -> DataFrame:
     return similar.groupBy("category", "prefix").applyInPandas(cluster, "path string, category string, group_path string, similarity double")
 
 
+def _with_copies(classes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """path, category, group_path, similarity from ``classes`` (path, category, first: the path that stands for files with equal content) and the ``clusters`` of those that stand for
+    others: copies join the cluster of theirs, or are one on their own."""
+    several = classes.groupBy("category", "first").agg(F.count("*").alias("_n")).filter("_n > 1").select("category", F.col("first").alias("path"))
+    alone = several.join(clusters.select("category", "path"), ["category", "path"], "left_anti").select("path", "category", F.col("path").alias("group_path"), F.lit(1.0).alias("similarity"))
+    found = clusters.select("path", "category", "group_path", "similarity").unionByName(alone).withColumnRenamed("path", "first")
+    return classes.join(found, ["category", "first"]).select("path", "category", "group_path", "similarity")
+
+
 def fuzzy_groups(files: DataFrame, similarity: Callable[[Column, Column], Column], threshold: float, sig: str = "signature", length: int = 8) -> DataFrame:
-    """Strict clusters of files by a similarity of two signatures."""
-    pairs = candidate_pairs(files, sig, length)
-    return strict_groups(similar_pairs(pairs, similarity(F.col("signature_a"), F.col("signature_b")), threshold))
+    """Strict clusters of files by a similarity of two signatures. Files with equal signatures are one in every cluster, so their smallest path stands for them while pairs are made."""
+    known = files.filter(F.col(sig).isNotNull()).select("category", "path", F.col(sig).alias("signature"))
+    one = known.groupBy("category", "signature").agg(F.min("path").alias("path"))
+    pairs = candidate_pairs(one, "signature", length)
+    clusters = strict_groups(similar_pairs(pairs, similarity(F.col("signature_a"), F.col("signature_b")), threshold))
+    return _with_copies(known.join(one.withColumnRenamed("path", "first"), ["category", "signature"]).select("category", "path", "first"), clusters)
 
 
 def dice_pairs(files: DataFrame, text: str, threshold: float, length: int = 8) -> DataFrame:
     """Pairs of different texts with the same first ``length`` characters whose Sorensen-Dice coefficient on character bigrams (multisets) reaches the threshold.
 
-    Equal texts are one class first (their first path stands for them). Per text the bigram counts are one sorted array; lengths prune pairs before
-    counts are compared: Dice >= t needs min / max of the bigram counts >= t / (2 - t).
+    Equal texts are one class first (their first path stands for them). The n-th occurrence of a bigram is one number, so a multiset is an array of different numbers and a pair is
+    judged in its own row by one intersection; lengths prune pairs before arrays meet: Dice >= t needs min / max of the bigram counts >= t / (2 - t).
     """
     from kinfold.functions.similarity import bigrams
 
@@ -102,7 +109,17 @@ def dice_pairs(files: DataFrame, text: str, threshold: float, length: int = 8) -
     near = a.join(b, ["category", "prefix"]).filter((F.col("path_a") < F.col("path_b")) & (F.least("n_a", "n_b") >= ratio * F.greatest("n_a", "n_b")) & (F.least("n_a", "n_b") > 0))
     asked = near.select(F.explode(F.array("path_a", "path_b")).alias("path")).distinct()
     grams = counted.join(asked, "path", "left_semi").select("path", F.explode(bigrams(F.col("t"))).alias("g")).groupBy("path", "g").agg(F.count("*").alias("c"))
-    x = near.join(grams.withColumnRenamed("path", "path_a").withColumnRenamed("c", "ca"), "path_a")
-    y = grams.withColumnRenamed("path", "path_b").withColumnRenamed("c", "cb")
-    shared = x.join(y, ["path_b", "g"]).groupBy("path_a", "path_b").agg(F.sum(F.least("ca", "cb")).alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return shared.withColumn("similarity", 2.0 * F.col("both") / (F.col("n_a") + F.col("n_b"))).filter(F.col("similarity") >= threshold).select("path_a", "path_b", "similarity")
+    sets = grams.select("path", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("c")), lambda i: F.xxhash64("g", i))).alias("x")).groupBy("path").agg(F.collect_list("x").alias("s"))
+    pairs = near.join(sets.select(F.col("path").alias("path_a"), F.col("s").alias("sa")), "path_a").join(sets.select(F.col("path").alias("path_b"), F.col("s").alias("sb")), "path_b")
+    judged = pairs.withColumn("similarity", 2.0 * F.size(F.array_intersect("sa", "sb")) / (F.col("n_a") + F.col("n_b")))
+    return judged.filter(F.col("similarity") >= threshold).select("path_a", "path_b", "similarity")
+
+
+def dice_groups(files: DataFrame, text: str, threshold: float, length: int = 8) -> DataFrame:
+    """Strict clusters of files by ``dice_pairs`` of their texts, equal texts together."""
+    known = files.filter(F.col(text).isNotNull())
+    one = known.groupBy("category", F.col(text).alias(text)).agg(F.min("path").alias("first"))
+    pairs = dice_pairs(files, text, threshold, length)
+    start = one.select("category", F.col("first").alias("path_a"), prefix(F.col(text), length).alias("prefix"))
+    clusters = strict_groups(pairs.join(start, "path_a").select("category", "prefix", "path_a", "path_b", "similarity"))
+    return _with_copies(known.join(one, ["category", text]).select("category", "path", "first"), clusters)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.formats import fixed, quoted
@@ -35,9 +35,10 @@ def numbered(groups: DataFrame, *order) -> DataFrame:
 def page(groups: DataFrame, number: int, size: int = PAGE, order=None) -> DataFrame:
     """Page ``number`` (from 0, cut to the last one) of groups by falling similarity, then path."""
     order = order or [F.desc("similarity"), F.asc("first_path")]
-    n = groups.count()
-    last = max(0, (n - 1) // size)
-    return groups.orderBy(*order).offset(min(max(0, number), last) * size).limit(size)
+    ranked = numbered(groups, *order)
+    n = ranked.count()
+    first = min(max(0, number), max(0, (n - 1) // size)) * size
+    return ranked.filter(F.col("number").between(first + 1, first + size)).orderBy("number").drop("number")
 
 
 def csv_lines(groups: DataFrame, entries: DataFrame) -> DataFrame:
@@ -69,20 +70,29 @@ def json_groups(groups: DataFrame, entries: DataFrame) -> DataFrame:
     return j.select("session_id", "group_id", F.to_json(F.struct("group_id", "file_type", "similarity", "files")).alias("json"))
 
 
-def export(groups: DataFrame, entries: DataFrame, path: str, fmt: str) -> None:
+def write_json(groups: DataFrame, entries: DataFrame, session: int, path: str) -> None:
+    """One JSON document, ``{"session_id": .., "groups": [..]}``, a group a line; its part files in order are the document. No group of the list waits in one task for the others."""
+    spark = groups.sparkSession
+    lines = numbered(json_groups(groups, entries).select("group_id", "json"), "group_id")
+    body = lines.select(F.col("number"), F.concat(F.when(F.col("number") > 1, ",").otherwise(""), F.col("json")).alias("value"))
+    ends = spark.createDataFrame([(0, f'{{"session_id": {int(session)}, "groups": ['), (1 << 62, "]}")], "number long, value string")
+    body.unionByName(ends).repartitionByRange("number").sortWithinPartitions("number").select("value").write.text(path)
+
+
+def export(groups: DataFrame, entries: DataFrame, path: str, fmt: str, session: int = 0) -> None:
     """Write as ``json`` or ``csv``; another format is an error."""
     if fmt == "json":
-        json_groups(groups, entries).select(F.col("json").alias("value")).write.text(path)
+        write_json(groups, entries, session, path)
     elif fmt == "csv":
         write_csv(groups, entries, path)
     else:
         raise ValueError(f"unknown export format {fmt!r}; known: csv, json")
 
 
-def status_counts(files: DataFrame) -> DataFrame:
-    return files.groupBy("status").agg(F.count("*").alias("n"))
+def of_category(groups: DataFrame, category: str | None) -> DataFrame:
+    """Groups of one category, or all of them."""
+    return groups if category is None else groups.filter(F.col("file_type") == category)
 
 
-def running(entries: DataFrame) -> DataFrame:
-    """Entries numbered within their group."""
-    return entries.withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy("file_path")))
+def status_counts(files: DataFrame) -> DataFrame:
+    return files.groupBy("status").agg(F.count("*").alias("n"))

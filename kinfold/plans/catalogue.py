@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import formats, paths, similarity, text
 from kinfold.operators import classify, grouping, report, sorter, survivors
 from kinfold.plans.ranks import with_rank
+from kinfold.plans.stages import spread, written
 from kinfold.schema import DESKTOP_SIZES, EXCLUDED_DIRS, EXTENSIONS
 from kinfold.sources import store as stores
 
@@ -59,12 +60,12 @@ ent AS (SELECT row_number() OVER (ORDER BY grp.id, path) AS id, grp.id AS group_
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).withColumn("signature", text.text_signature(F.col("text"), "document"))
+    return spread(_files(spark, sf_dir)).withColumn("signature", text.text_signature(F.col("text"), "document"))
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Groups and entries as the store holds them."""
-    signed = _signed(spark, sf_dir).drop("text")
+    signed = written(_signed(spark, sf_dir).drop("text"), "signed")  # each text is read and normalised once
     groups = with_rank(grouping.exact_groups(signed), ["first_path"], "id")
     entries = signed.join(groups.select("signature", F.col("id").alias("group_id")), "signature")
     entries = with_rank(entries.select("group_id", F.col("path").alias("file_path"), F.col("size").alias("file_size"), "modified", "modified_at"), ["group_id", "file_path"], "id")
@@ -125,7 +126,7 @@ gr AS (SELECT path, ch[i] || ch[i + 1] AS g, count(*) AS c FROM (SELECT path, st
 s AS (SELECT path_a, path_b, na, nb, sum(least(x.c, y.c)) AS both_n FROM p JOIN gr x ON x.path = path_a JOIN gr y ON y.path = path_b AND y.g = x.g GROUP BY ALL)
 SELECT path_a, path_b, round(2.0 * both_n / (na + nb), 9)::DOUBLE AS similarity FROM s WHERE 2.0 * both_n / (na + nb) >= 0.9""")
 def dice_pairs(spark, sf_dir):
-    f = _files(spark, sf_dir).select("path", "category", text.normal_text(F.col("text")).alias("normal"))
+    f = spread(_files(spark, sf_dir)).select("path", "category", text.normal_text(F.col("text")).alias("normal"))
     return grouping.dice_pairs(f, "normal", 0.9).withColumn("similarity", F.round("similarity", 9))
 
 

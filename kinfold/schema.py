@@ -46,9 +46,6 @@ IMAGE_CLASSES = (
     ("other", "Other", "an image that does not fit other categories"),
 )
 
-#: The base table of files, as a schema string.
-FILES = "path string, name string, extension string, category string, size bigint, modified timestamp, mime_type string, dimensions struct<width:int,height:int>, has_exif boolean, sub_category string, classification_confidence float, classification_tier tinyint"
-
 #: The six tables of the session store.
 TABLES = {
     "scan_sessions": "id long, name string, created_at string, completed_at string, status string, file_types string, similarity_threshold double",
@@ -63,8 +60,3 @@ TABLES = {
 def class_table(spark):
     """The 24 image classes as rows (idx, label, display_name, prompt)."""
     return spark.createDataFrame([(i, *c) for i, c in enumerate(IMAGE_CLASSES)], "idx int, label string, display_name string, prompt string")
-
-
-def label_or_none(label: str) -> str | None:
-    """A class label, or None for an unknown one."""
-    return label if any(label == c[0] for c in IMAGE_CLASSES) else None

@@ -5,29 +5,21 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
-from xml.etree import ElementTree
+import zlib
+from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.functions.text import decoded, normal_code, normal_text
-
 PLAIN = ("txt", "srt", "vtt", "sub", "rtf")
-#: Bytes read to tell a file's kind.
-SNIFF_BYTES = 8192
-
 # Leading bytes in hex, kind; the first that fits wins.
 MAGIC = (("89504e470d0a1a0a", "image/png"), ("ffd8ff", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("424d", "image/bmp"), ("49492a00", "image/tiff"), ("4d4d002a", "image/tiff"), ("255044462d", "application/pdf"), ("504b0304", "application/zip"), ("1f8b", "application/gzip"), ("425a68", "application/x-bzip2"), ("fd377a585a00", "application/x-xz"), ("377abcaf271c", "application/x-7z-compressed"), ("526172211a07", "application/vnd.rar"), ("28b52ffd", "application/zstd"), ("1a45dfa3", "video/x-matroska"), ("464c5601", "video/x-flv"))
 # Kind by extension where the bytes tell none.
 BY_EXTENSION = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "tiff": "image/tiff", "svg": "image/svg+xml", "txt": "text/plain", "pdf": "application/pdf", "rtf": "application/rtf", "html": "text/html", "css": "text/css", "js": "text/javascript", "py": "text/x-python", "mp4": "video/mp4", "webm": "video/webm", "mov": "video/quicktime", "avi": "video/x-msvideo", "zip": "application/zip", "gz": "application/gzip", "tar": "application/x-tar"}
 
 
-def prefix_bytes(content: Column, n: int = SNIFF_BYTES) -> Column:
-    return F.substring(content, 1, n)
-
-
 def mime_type(content: Column, ext: Column) -> Column:
     """Kind by leading bytes, else by extension, else null."""
     head = F.lower(F.hex(F.substring(content, 1, 16)))
@@ -38,35 +30,37 @@ def mime_type(content: Column, ext: Column) -> Column:
     return out.otherwise(F.try_element_at(known, F.coalesce(F.lower(ext), F.lit(""))))
 
 
-def sha256(content: Column) -> Column:
-    return F.sha2(content, 256)
-
-
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
-
-
 def _document_text(content: bytes, member: str, text_in: str, newline_after: str) -> str | None:
-    """Text inside ``text_in`` elements of a zipped XML member, a line end after each ``newline_after``."""
+    """Text inside ``text_in`` elements of a zipped XML member, a line end after each ``newline_after``. XML that breaks off gives the text before the break."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            root = ElementTree.fromstring(z.read(member))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, OSError, EOFError, NotImplementedError, RuntimeError):
+            raw = z.read(member)
+    except (zipfile.BadZipFile, KeyError, OSError, EOFError, NotImplementedError, RuntimeError, zlib.error):
         return None
     parts: list[str] = []
+    depth = 0  # of text_in elements around the place
 
-    def visit(el, inside: bool) -> None:
-        inside = inside or _local(el.tag) == text_in
-        if inside and el.text:
-            parts.append(el.text)
-        for child in el:
-            visit(child, inside)
-            if inside and child.tail:
-                parts.append(child.tail)
-        if _local(el.tag) == newline_after:
+    def start(name: str, _attributes) -> None:
+        nonlocal depth
+        depth += name.rsplit("}", 1)[-1] == text_in
+
+    def end(name: str) -> None:
+        nonlocal depth
+        name = name.rsplit("}", 1)[-1]
+        depth -= name == text_in
+        if name == newline_after:
             parts.append("\n")
 
-    visit(root, False)
+    def characters(data: str) -> None:
+        if depth:
+            parts.append(data)
+
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
+    try:
+        parser.Parse(raw, True)
+    except expat.ExpatError:
+        pass
     text = "".join(parts)
     return text if text.strip() else None
 
@@ -91,31 +85,29 @@ def pdf_text(content: bytes) -> str | None:
         return None
 
 
-_READERS = {"docx": docx_text, "doc": docx_text, "odt": odt_text, "pdf": pdf_text}
+READERS = {"docx": docx_text, "doc": docx_text, "odt": odt_text, "pdf": pdf_text}
 
 
 @F.pandas_udf(T.StringType())
-def _packed_text(content: pd.Series, ext: pd.Series) -> pd.Series:
-    return pd.Series([_READERS[e](c) if c is not None and e in _READERS else None for c, e in zip(content, ext, strict=True)], dtype=object)
-
-
-def with_text(files: DataFrame) -> DataFrame:
-    """``files`` (extension, category, content) with ``text``: plain files and code decoded in the JVM; packed documents, and only they, pass through Python."""
-    packed = F.col("extension").isin(*_READERS)
-    plain = files.filter(~packed).withColumn("text", F.when(F.col("extension").isin(*PLAIN) | (F.col("category") == "code"), decoded(F.col("content"))))
-    return plain.unionByName(files.filter(packed).withColumn("text", _packed_text("content", "extension")))
+def packed_text(content: pd.Series, ext: pd.Series) -> pd.Series:
+    return pd.Series([READERS[e](c) if c is not None and e in READERS else None for c, e in zip(content, ext, strict=True)], dtype=object)
 
 
-def normalised(files: DataFrame) -> DataFrame:
-    return files.withColumn("normal", F.when(F.col("category") == "code", normal_code(F.col("text"))).when(F.col("category") == "document", normal_text(F.col("text"))))
+# ---------------------------------------------------------------- images
 
 
-# ---------------------------------------------------------------- images
+#: TIFF tags of width and height.
+_SIDES = (0x0100, 0x0101)
 
 
 def dimensions(content: bytes) -> tuple[int, int] | None:
-    """Width and height from the head of PNG, GIF, BMP, JPEG and WebP files."""
+    """Width and height from the head of PNG, GIF, BMP, JPEG, WebP and TIFF files."""
     try:
+        if content[:4] in (b"II*\x00", b"MM\x00*"):
+            order = "<" if content[:2] == b"II" else ">"
+            tags = _tags(content, struct.unpack_from(order + "I", content, 4)[0], order)
+            sides = [struct.unpack(order + ("H" if tags[t][0] == 3 else "I"), tags[t][2][: 2 if tags[t][0] == 3 else 4])[0] for t in _SIDES if t in tags and tags[t][0] in (3, 4)]
+            return tuple(sides) if len(sides) == 2 else None
         if content[:8] == b"\x89PNG\r\n\x1a\n":
             return struct.unpack(">II", content[16:24])
         if content[:3] == b"GIF":
@@ -176,22 +168,3 @@ def has_camera_data(content: bytes) -> bool:
     except struct.error:
         return False
     return False
-
-
-@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("has_exif", T.BooleanType())]))
-def _image_facts(content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for c in content:
-        d = dimensions(c) if c is not None else None
-        rows.append((d[0] if d else None, d[1] if d else None, has_camera_data(c) if c is not None else False))
-    return pd.DataFrame(rows, columns=["width", "height", "has_exif"]).astype({"width": "Int32", "height": "Int32"})
-
-
-def enriched(files: DataFrame) -> DataFrame:
-    """``files`` with mime_type, dimensions and has_exif; the latter two for images only, whose content alone passes through Python."""
-    f = files.withColumn("mime_type", F.when(F.col("category") == "image", mime_type(F.col("content"), F.col("extension"))))
-    image = f.filter("category = 'image'").withColumn("_f", _image_facts("content"))
-    size = F.when(F.col("_f.width").isNotNull(), F.struct(F.col("_f.width").alias("width"), F.col("_f.height").alias("height")))
-    image = image.withColumn("dimensions", size).withColumn("has_exif", F.col("_f.has_exif")).drop("_f")
-    rest = f.filter("category <> 'image' or category is null").withColumn("dimensions", F.lit(None).cast("struct<width:int,height:int>")).withColumn("has_exif", F.lit(False))
-    return image.unionByName(rest)

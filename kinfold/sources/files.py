@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from kinfold.functions.paths import category, extension, file_name, in_excluded_dir
+from kinfold.functions.paths import category, extension, file_name, in_excluded_dir, local_path, plain_path
 from kinfold.schema import EXCLUDED_DIRS
 
 #: Fixed value: the least size of a file in a duplicate scan.
 SCAN_MIN_BYTES = 1024
 
 
-def _described(files: DataFrame) -> DataFrame:
+def described(files: DataFrame) -> DataFrame:
     f = files.withColumn("name", file_name(F.col("path"))).withColumn("extension", extension(F.col("name")))
     return f.withColumn("category", category(F.col("extension")))
 
@@ -34,16 +34,16 @@ def read_files(spark: SparkSession, roots: list[str], recursive: bool = True, ca
     if max_size is not None:
         found = found.filter(F.col("length") <= max_size)
     cols = [F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *([F.col("content")] if content else [])]
-    files = _described(found.select(*cols))
+    files = described(found.select(*cols))
     known = files.filter(F.col("category").isin(*categories) if categories else F.col("category").isNotNull())
-    kept = known.filter(~_below_roots_excluded(roots))
+    kept = known.filter(outside_excluded(roots))
     out = kept.select("path", "name", "extension", "category", "size", "modified", *(["content"] if content else []))
     # overlapping roots list a file twice; one root never does
     return out.dropDuplicates(["path"]) if len(roots) > 1 else out
 
 
-def _below_roots_excluded(roots: list[str]):
-    """Skipped directory names count below a root, and if a root itself bears one."""
+def outside_excluded(roots: list[str]):
+    """No directory of the path below a root, nor the root itself, is one that scans skip."""
     out = F.lit(False)
     for root in roots:
         bare = root.split("://", 1)[-1].split(":", 1)[-1] if root.startswith("file:") else root
@@ -51,7 +51,7 @@ def _below_roots_excluded(roots: list[str]):
         place = F.instr(F.col("path"), bare + "/")
         rest = F.substr(F.col("path"), place + len(bare) + 1)
         out = out | ((place > 0) & (in_excluded_dir(rest) | F.lit(os.path.basename(bare) in EXCLUDED_DIRS)))
-    return out
+    return ~out
 
 
 class _Walker(DataSourceReader):
@@ -68,6 +68,10 @@ class _Walker(DataSourceReader):
         stack = [root]
         if self.prune and os.path.basename(os.path.abspath(root)) in EXCLUDED_DIRS:
             return
+        if os.path.isfile(root):
+            s = os.stat(root)
+            yield (root, s.st_size, int(s.st_mtime), "found")
+            return
         while stack:
             here = stack.pop()
             try:
@@ -110,7 +114,18 @@ def walk(spark: SparkSession, roots: list[str], recursive: bool = True, prune: b
     """path, size, modified, status, name, extension, category of everything below the roots."""
     spark.dataSource.register(FileTree)
     rows = spark.read.format("filetree").option("roots", "\n".join(roots)).option("recursive", str(recursive).lower()).option("prune", str(prune).lower()).load()
-    return _described(rows.withColumn("modified", F.timestamp_seconds("modified_at")))
+    return described(rows.withColumn("modified", F.timestamp_seconds("modified_at")))
+
+
+def listed(spark: SparkSession, roots: list[str], recursive: bool = True, categories: list[str] | None = None, min_size: int = 0, max_size: int | None = None) -> DataFrame:
+    """path, name, extension, category, size, modified, status of a scan, each path once, no content read. Local roots are walked, hidden names and unreadable ones included; of others Spark lists what its readers show."""
+    if all(local_path(r).startswith("/") or "://" not in r for r in roots):
+        found = walk(spark, [os.path.abspath(local_path(r)) for r in roots], recursive)
+        found = classify_status(found, categories, min_size, max_size)
+    else:
+        found = read_files(spark, roots, recursive, categories, min_size, max_size).withColumn("path", plain_path(F.col("path"))).withColumn("status", F.lit("found"))
+    found = found.select("path", "name", "extension", "category", "size", "modified", "status")
+    return found.dropDuplicates(["path"]) if len(roots) > 1 else found
 
 
 def classify_status(files: DataFrame, categories: list[str] | None = None, min_size: int = 0, max_size: int | None = None) -> DataFrame:

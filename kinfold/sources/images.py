@@ -6,6 +6,7 @@ The hashes are of the same families as usual tools' (mean, block, gradient on a
 from __future__ import annotations
 
 import base64
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinfold.functions.paths import plain_path
+from kinfold.sources.content import copied
+from kinfold.sources.store import shared_folder
+
 SIDE = 12
 STEP = 2
 
@@ -79,13 +84,38 @@ def _facts(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Se
     return pd.DataFrame(out, columns=["mean_luma", "edge_energy", "hash_size", "signature"]).astype({"mean_luma": "float32", "edge_energy": "float32", "hash_size": "Int32"})
 
 
-def image_facts(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """path, width, height, mean_luma, edge_energy, hash_size, signature of images below the roots; unreadable ones have nulls."""
-    i = spark.read.format("image").option("recursiveFileLookup", "true").load(roots)
-    f = i.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), _facts("image.data", "image.height", "image.width", "image.nChannels").alias("f"))
+def origin_path(origin):
+    """The path of an image as scans write it: the reader gives a URI with its special characters escaped."""
+    return plain_path(F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B"))))
+
+
+def image_facts(spark: SparkSession, roots: list[str], since: str | None = None) -> DataFrame:
+    """path, width, height, mean_luma, edge_energy, hash_size, signature of images below the roots; unreadable ones have nulls. ``since``: only files modified after it are opened."""
+    reader = spark.read.format("image").option("recursiveFileLookup", "true")
+    i = (reader.option("modifiedAfter", since) if since else reader).load(roots)
+    f = i.select(origin_path(F.col("image.origin")).alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), _facts("image.data", "image.height", "image.width", "image.nChannels").alias("f"))
     return f.select("path", "width", "height", "f.*")
 
 
+def facts_of(spark: SparkSession, images: DataFrame, roots: list[str]) -> DataFrame:
+    """``image_facts`` of the rows of ``images`` (path, modified): pixels are decoded only of files as new as the oldest of them. Names that Spark's reader skips (a leading
+    point or underscore in any part) are copied to the shared folder under plain names first."""
+    columns = ["path", "width", "height", "mean_luma", "edge_energy", "hash_size", "signature"]
+    hidden = F.col("path").rlike("/[._]")
+    one = images.agg(F.count_if(~hidden).alias("plain"), F.count_if(hidden).alias("hidden"), F.date_format(F.min("modified") - F.expr("interval 2 seconds"), "yyyy-MM-dd'T'HH:mm:ss").alias("since")).first()
+    out = spark.createDataFrame([], "path string, width int, height int, mean_luma float, edge_energy float, hash_size int, signature string")
+    if one.plain:
+        out = out.unionByName(image_facts(spark, roots, one.since).select(columns).join(images.filter(~hidden).select("path").distinct(), "path", "left_semi"))
+    if one.hidden:
+        folder = f"{shared_folder(spark)}/kinfold/images-{uuid.uuid4().hex}"
+        copied(images.filter(hidden), folder).write.parquet(f"{folder}-names")
+        made = spark.read.parquet(f"{folder}-names")
+        if made.take(1):
+            facts = image_facts(spark, [folder]).withColumn("copy", F.regexp_extract("path", r"([^/]*)$", 1)).drop("path")
+            out = out.unionByName(facts.join(made, "copy").select(columns))
+    return out
+
+
 def preprocess(rgb: np.ndarray, side: int = 224) -> np.ndarray:
     """1 x 3 x side x side float input of an image encoder: resized, scaled to 0..1, normalised by the fixed channel means and deviations."""
     mean, dev = np.array([0.48145466, 0.4578275, 0.40821073]), np.array([0.26862954, 0.26130258, 0.27577711])  # fixed values

@@ -1,14 +1,16 @@
-"""The session store: six Parquet tables, each a folder of numbered versions.
+"""The session store: six Parquet tables, each a folder of numbered versions (v=) and additions (a=).
 
-A change writes a whole new version and is seen once its ``_SUCCESS`` mark is there; readers take the highest complete version. Appends of new rows add a version folder that
-lists what it replaces by being higher. Plain Parquet has no merge, so an upsert is a union and one pre-aggregated pick a key.
+A reader takes the last whole version and the additions after it, each seen once its ``_SUCCESS`` mark is there. New rows are an addition; a change or an upsert writes a whole version,
+as plain Parquet has no merge: a union and one pre-aggregated pick a key. Numbers are claimed by a mark that only one writer can make, so two writers never share a folder; of two that
+replace the same table at once the later one stands.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.schema import TABLES
@@ -33,39 +35,70 @@ class SessionStore:
 
     # -- tables
 
-    def _versions(self, table: str) -> list[int]:
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{n}/_SUCCESS")))
+    def _path(self, *parts: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _folders(self, table: str) -> list[tuple[int, str]]:
+        """Number and name of every version and addition of a table, finished or not."""
+        path, fs = self._path(table)
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted((int(n[2:]), n) for n in names if n[:2] in ("v=", "a="))
+
+    def _parts(self, table: str) -> list[str]:
+        """The last whole version and the finished additions after it."""
+        done = [(n, name) for n, name in self._folders(table) if (p := self._path(table, name, "_SUCCESS")) and p[1].exists(p[0])]
+        whole = [n for n, name in done if name[0] == "v"]
+        return [name for n, name in done if n >= (whole[-1] if whole else 0)]
+
+    def _claim(self, table: str) -> int:
+        """A number that no other writer has: the mark is made by one of them only."""
+        n = max([n for n, _ in self._folders(table)], default=0) + 1
+        while True:
+            path, fs = self._path(table, f"_claim-{n:08d}")
+            if fs.createNewFile(path):
+                return n
+            n += 1
 
     def read(self, table: str) -> DataFrame:
-        found = self._versions(table)
-        if not found:
+        parts = self._parts(table)
+        if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v={found[-1]:08d}")
+        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{table}/{p}" for p in parts])
+
+    def _write(self, table: str, kind: str, rows: DataFrame) -> None:
+        names = [f.name for f in self.spark.createDataFrame([], TABLES[table]).schema]
+        full = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in names])
+        full.select(*[F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], TABLES[table]).schema]).write.parquet(f"{self.root}/{table}/{kind}={self._claim(table):08d}")
 
     def write(self, table: str, rows: DataFrame) -> None:
         """Replace a table. The new version is whole before it is seen; the one before stays for readers under way."""
-        found = self._versions(table)
-        names = [f.name for f in self.spark.createDataFrame([], TABLES[table]).schema]
-        rows.select(*names).write.mode("overwrite").parquet(f"{self.root}/{table}/v={(found[-1] if found else 0) + 1:08d}")
+        self._write(table, "v", rows)
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(rows, allowMissingColumns=True))
+        """Add rows; what is there already is not written again."""
+        self._write(table, "a", rows)
 
-    def vacuum(self, files: int = 1) -> None:
-        """Compact every table and drop older versions."""
-        sc = self.spark.sparkContext
+    def scratch(self, rows: DataFrame, label: str) -> DataFrame:
+        """``rows`` written once and read back, so what follows does not make them anew; ``vacuum`` removes it."""
+        at = f"{self.root}/_scratch/{label}-{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def vacuum(self, file_bytes: int = 128 << 20) -> None:
+        """Write every table anew in files of about ``file_bytes``, and drop older versions and scratch tables. For a time without readers or writers."""
         for table in TABLES:
-            if self._versions(table):
-                self.write(table, self.read(table).coalesce(files))
-                for v in self._versions(table)[:-1]:
-                    path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/v={v:08d}")
-                    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            old = self._folders(table)
+            if not old:
+                continue
+            rows = self.read(table)
+            size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            self.write(table, rows.repartition(max(1, -(-size // file_bytes))))
+            for n, name in old:
+                for path, fs in (self._path(table, name), self._path(table, f"_claim-{n:08d}")):
+                    fs.delete(path, True)
+        path, fs = self._path("_scratch")
+        fs.delete(path, True)
 
     # -- sessions
 
@@ -166,8 +199,3 @@ def cascade(sessions: DataFrame, groups: DataFrame, entries: DataFrame, session:
     """What is left after a session, its groups and their entries are gone."""
     gone = groups.filter(F.col("session_id") == session).select(F.col("id").alias("group_id"))
     return sessions.filter(F.col("id") != session), groups.filter(F.col("session_id") != session), entries.join(gone, "group_id", "left_anti")
-
-
-def latest(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row a key in the given order."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")

@@ -75,7 +75,7 @@ def test_signature_parsing(spark):
     h = "|".join(base64.b64encode(bytes([i] * 18)).decode() for i in (0, 1, 255))
     df = spark.createDataFrame([(h,), ("",), ("a|b",), ("x|y|z!",), (None,)], "s string")
     assert [r[0] for r in df.select(similarity.parse_image_signature(F.col("s")).isNotNull()).collect()] == [True, False, False, False, False]
-    from kinfold.plans.scan import image_hash_similarity
+    from kinfold.plans.detectors import image_hash_similarity
 
     near = h[:-4] + base64.b64encode(bytes([255, 255, 254])).decode()
     two = spark.createDataFrame([(h, h), (h, near), (h, "bad")], "a string, b string")
