@@ -5,11 +5,12 @@ and 4-byte n-grams of the rest with word edges as spaces, hashed into ``2 ** bit
 rows, and a linear softmax over it gives the languages. Embedding and softmax multiply into one table of logits a bucket, so that scoring a text is
 a sum over its bytes: whole texts of any length at a fixed cost per byte.
 
-Learning takes at most about ``per_lang`` labelled rows of each language (chosen by a hash of the id, the only bound here) and short windows of them.
+Learning takes about ``per_lang`` labelled rows of each language, chosen by a hash of the id, and short windows of them; of more than ``most_langs`` languages the most frequent.
+These two parameters are the only bounds here; they shape what is learned from, and every text is scored whole.
 A fifth of those rows sets the temperature and the score below which a text is rejected: at most ``false_reject`` of good rows fall under it.
 
 Defined cases: null text or no letter: ``und``, score 0, rejected. No labelled row at all: ``und`` for every text. One language: it, with score 1.
-Repeated rows and null ids are scored like others (null ids are never learned from). Extra columns are ignored.
+Equal logits: the first language by name. Repeated rows and null ids are scored like others (null ids are never learned from). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class LangConfig:
     bits: int = 15
     dim: int = 16
     per_lang: int = 800
+    most_langs: int = 1000
     epochs: int = 12
     rate: float = 4.0
     batch: int = 64
@@ -95,12 +97,12 @@ def _windows(data: np.ndarray, sizes: tuple[int, ...], seed: int) -> list[np.nda
 def sample_rows(docs: DataFrame, cfg: LangConfig, id_col: str, lang_col: str, learn) -> DataFrame:
     """About ``per_lang`` rows of each language among those that may be learned from, by a hash of the id: one count a language, then one filter."""
     ok = docs.filter(learn & F.col(lang_col).isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in ok.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()}
+    counts = {r[0]: r[1] for r in ok.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(cfg.most_langs).collect()}
     if not counts:
         return ok.select(lang_col, "text").limit(0)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, cfg.per_lang / n) * (1 << 20))))])
     ok = ok.filter((F.pmod(F.xxhash64(F.col(id_col), F.lit(cfg.seed)), F.lit(1 << 20))) < F.element_at(share, F.col(lang_col)))
-    return ok.select(lang_col, "text").limit(2 * cfg.per_lang * len(counts))
+    return ok.select(lang_col, "text")
 
 
 def fit(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col: str = "doc_id", lang_col: str = "lang", learn=None) -> LangModel:
@@ -124,7 +126,10 @@ def fit(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(rows["lang"], pa.string()), pa.array(rows["part"], pa.int32()), pa.array(rows["at"], pa.list_(pa.int32())), pa.array(rows["share"], pa.list_(pa.float32()))], ["lang", "part", "at", "share"])
 
     got = sample_rows(docs, cfg, id_col, lang_col, F.lit(True) if learn is None else learn).mapInArrow(features, "lang string, part int, at array<int>, share array<float>").toArrow()
-    return train(got, cfg)
+    model = train(got, cfg)
+    del got
+    shared.release()  # the driver keeps the model only
+    return model
 
 
 def train(got: pa.Table, cfg: LangConfig) -> LangModel:
@@ -144,12 +149,6 @@ def train(got: pa.Table, cfg: LangConfig) -> LangModel:
     learn = order[part[order] // 2 != 0]
     weight = (len(learn) / (k * np.maximum(1, np.bincount(y[learn], minlength=k)))).astype(np.float32)
 
-    def dense(rows):
-        x = np.zeros((len(rows), buckets), np.float32)
-        for i, r in enumerate(rows):
-            x[i, at[r]] = share[r]
-        return x
-
     steps = max(1, cfg.epochs * (len(learn) // cfg.batch + 1))
     step = 0
     for _ in range(cfg.epochs):
@@ -158,17 +157,21 @@ def train(got: pa.Table, cfg: LangConfig) -> LangModel:
             rows = perm[lo : lo + cfg.batch]
             rate = cfg.rate * (1 - step / steps)
             step += 1
-            x = dense(rows)
-            hid = x @ emb
-            z = hid @ out.T + bias
+            # the buckets of the batch end to end; no row is spread over all of them
+            where, value = np.concatenate([at[r] for r in rows]), np.concatenate([share[r] for r in rows])
+            size = np.array([len(at[r]) for r in rows])
+            z = np.add.reduceat((emb @ out.T)[where] * value[:, None], np.cumsum(size) - size, axis=0) + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
             p *= weight[y[rows], None] / len(rows)
-            g_hid = p @ out
-            out -= rate * (p.T @ hid)
+            # both layers' gradients follow from the errors summed by bucket, so nothing of the embedding's width is made for a subword
+            error = np.repeat(p, size, axis=0) * value[:, None]
+            summed = np.stack([np.bincount(where, error[:, c], buckets) for c in range(k)], 1).astype(np.float32)
+            step_emb, step_out = summed @ out, summed.T @ emb
+            out -= rate * step_out
             bias -= 0.1 * rate * p.sum(0)
-            emb -= rate * 50 * (x.T @ g_hid)
+            emb -= rate * 50 * step_emb
     table = emb @ out.T
     check = order[part[order] // 2 == 0]
     check = check if len(check) >= 5 else learn
@@ -233,6 +236,7 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id") -> DataF
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches):
+        shared.claim("lang")
         names = np.array([*held.value.langs, UND], object)
         for batch in batches:
             pred, best, reject = _judge(batch.column(1), held.value)
@@ -247,6 +251,7 @@ def accepted(docs: DataFrame, model: LangModel) -> DataFrame:
     place = docs.columns.index("text")
 
     def keep(batches):
+        shared.claim("lang")
         for batch in batches:
             mask = ~_judge(batch.column(place), held.value)[2]
             yield batch.filter(pa.array(mask))

@@ -83,6 +83,7 @@ def fit(docs: DataFrame, target: str, cfg: LmConfig = LmConfig()) -> LmModel:
     """Count ``docs`` (text, and ``target``: true for rows of the target domain)."""
 
     def count(batches):
+        shared.claim("lm")
         held, size = [], 0
         for batch in batches:
             mark = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
@@ -162,6 +163,7 @@ def score(docs: DataFrame, model: LmModel, id_col: str = "doc_id") -> DataFrame:
     parts = shared.Scratch(docs.sparkSession, "lm-parts").write(_parts(docs, cfg, id_col, kind))
 
     def ask(batches):
+        shared.claim("lm")
         part, held = None, []
 
         def asked():

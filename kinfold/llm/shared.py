@@ -66,6 +66,21 @@ class Scratch:
         jvm.System.gc()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if the plan knows it to be small (8 MB a core at most): a small file is often one row group and so one task. A larger table is never moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * (8 << 20) else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """True where crc32 of the id's decimal text leaves ``fold``; a null id counts as held out, so it is never learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(True))
