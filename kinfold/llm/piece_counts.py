@@ -8,7 +8,7 @@ whatever the vocabulary, and numpy takes the k-th byte of every word of a block
 A word is a run of ASCII letters, digits and bytes of non-ASCII characters; each ASCII punctuation mark is a word. Texts are lower-cased.
 A word that the pieces cannot cover counts as one unknown piece.
 
-Defined cases: a null or empty text has 0 words and 0 pieces; repeated rows are counted each; extra columns are ignored.
+Defined cases: a null or empty text has 0 words and 0 pieces; repeated rows and rows with a null id are counted each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +40,9 @@ def byte_level_pieces(path: str) -> list[bytes]:
 class Automaton:
     """Counts greedy pieces of words. ``prefix``: pieces that start with it match inside a word only, all others at its start only; None: all match anywhere."""
 
+    #: Words of more bytes are read one by one, shorter ones all at once.
+    WIDE = 256
+
     def __init__(self, pieces: list[bytes], prefix: bytes | None = None):
         children: list[dict[int, int]] = [{}]
         final, parent, byte, depth = [False], [0], [0], [0]
@@ -97,7 +100,8 @@ class Automaton:
     def count(self, data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each word, and whether it is covered (else it counts 1)."""
         order = np.argsort(-length, kind="stable")
-        at, size = at[order], length[order]
+        order, long = order[length[order] <= self.WIDE], order[length[order] > self.WIDE]
+        at_all, at, size = at, at[order], length[order]
         state, got = np.full(len(at), self.start, np.int64), np.zeros(len(at), np.int64)
         longer = len(at) - np.searchsorted(size[::-1], np.arange(1, int(size[0]) + 1 if len(size) else 1))
         flat_next, flat_pops = self.next.ravel(), self.pops.ravel()
@@ -107,9 +111,19 @@ class Automaton:
             state[:n] = flat_next[key]
         end = self.at_end[state]
         ok = end >= 0
-        total, known = np.empty(len(at), np.int64), np.empty(len(at), bool)
+        total, known = np.empty(len(at_all), np.int64), np.empty(len(at_all), bool)
         total[order] = np.where(ok, got + end, 1)
         known[order] = ok
+        # few words are that long; a pass over all of them for each of their bytes would cost more than the bytes
+        step, pops = memoryview(flat_next), memoryview(flat_pops)
+        for i in long.tolist():
+            v, n = self.start, 0
+            for b in data[at_all[i] : at_all[i] + length[i]].tobytes():
+                key = v * 256 + b
+                n += pops[key]
+                v = step[key]
+            end = int(self.at_end[v])
+            total[i], known[i] = (n + end, True) if end >= 0 else (1, False)
         return total, known
 
 
