@@ -161,18 +161,20 @@ _LETTER = "a-zªµºß-öø-ɏ"
 _NUMBER = "0-9²³¹¼½¾"
 _SPACE = "\t-\r \x85\xa0"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-#: Texts with any of these, as they are or in lower case, go through the library whole: other scripts, controls, letters whose lower case is longer, added tokens.
-_UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ɏ]|<\\|")
+#: Characters of the short way: below U+0250 with a small form of one character there; not those that white space of the two sides treats apart.
+_USUAL = "".join(chr(c) for c in range(0x250) if not 0x1C <= c <= 0x1F and len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250)
+#: Texts with any other, or with what may be an added token, go through the library whole.
+_UNUSUAL = re.compile(f"[^{re.escape(_USUAL)}]|<\\|")
 
 
 def _words(text: str) -> list[str] | None:
     """The words of the lower-cased text; None where it must go through the library whole."""
-    low = text.lower()
-    if text.isascii():  # a few scans for one character each are quicker than the pattern
+    try:
+        text.isascii() or text.encode("latin-1")  # all of Latin-1 is usual; a few scans for one character each are quicker than the pattern
         odd = "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
-    else:  # some letters of the short way's scripts have their small form outside of them
-        odd = _UNUSUAL.search(text) is not None or _UNUSUAL.search(low) is not None
-    return None if odd else low.split()
+    except UnicodeEncodeError:
+        odd = _UNUSUAL.search(text) is not None
+    return None if odd else text.lower().split()
 
 
 #: Words that a worker remembers at most; beyond it the memory starts anew (results do not change).
