@@ -1,10 +1,14 @@
 """A training corpus out of ``documents`` in five stages; each is written as Parquet and read again by the next.
 
 1. language_id: documents that language ID rejects (no letter, or a score under the calibrated limit) go.
-2. near_duplicates: of each group linked by the n-gram Jaccard join (words by five, 0.8) the document with the smallest id stays.
+2. near_duplicates: of each group linked by the n-gram Jaccard join (words by five, 0.8) the document with the smallest id stays; rows that share an id are told apart by their text.
 3. decontaminate: documents that hold a benchmark item, verbatim or re-parameterised, go.
 4. mix_sources: copies of documents of rare sources, up to the repetition limit; every document stays at least once.
 5. token_output: token ids of the mixture in the store's file format, in ascending document order, read back.
+
+Defined cases, of every stage: an empty table gives an empty table with the same columns. Null, empty and letterless texts go in the first stage. A null id is a value like another: the row
+is judged by its text and is the last choice of its group. A null language is not learned from, a null source is the source ''. Of rows equal in id and text one stays. Texts of any length are
+handled whole. Further columns are kept as they are up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
