@@ -6,10 +6,11 @@ import os
 import shutil
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.paths import category, extension, file_name
+from kinfold.plans.ranks import with_rank
 
 
 def destinations(files: DataFrame, root: str, sub_folder: Column | None = None) -> DataFrame:
@@ -31,25 +32,33 @@ def split_name(name: Column) -> tuple[Column, Column]:
 def resolve(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """``plan`` with ``dest_path``: the k-th file of a name in a folder gets ``_k`` from the second on.
 
-    Suffixes that another file of the folder bears, or that ``taken`` (dest_path) holds, are skipped: candidates 0 .. (clashes + blockers) are laid out, blocked ones
-    removed, and file k takes the k-th left.
+    Suffixes that another file of the folder bears, or that ``taken`` (dest_path) holds, are skipped: file k takes the k-th free number. A taken number with t free ones below it stands
+    before file t, so with files and taken numbers in one order a file's place in its group is its number. Places come from ``with_rank``: no task or row holds all files of a name.
     """
     stem, ext = split_name(F.col("name"))
-    p = plan.filter("status = 'moved'").withColumn("_k", F.row_number().over(Window.partitionBy("dest_dir", "name").orderBy("path")) - 1)
-    # names that the files of a folder bear themselves, and what lies there already, block generated names
-    own = p.select(F.concat_ws("/", "dest_dir", "name").alias("dest_path")).distinct()
-    there = taken.select("dest_path") if taken is not None else own.limit(0)
-    blocked = own.withColumn("_own", F.lit(True)).unionByName(there.withColumn("_own", F.lit(False))).groupBy("dest_path").agg(F.bool_or(~F.col("_own")).alias("_there"), F.bool_or("_own").alias("_own"))
-    firsts = p.groupBy("dest_dir", "name").agg(F.count("*").alias("_n"))
-    # a group needs as many free names as it has files; blockers are those that look like its names
-    base = F.regexp_replace("dest_path", r"_[0-9]+(\.[^./]*)?$", "$1")
-    near = blocked.select(base.alias("_base")).groupBy("_base").agg(F.count("*").alias("_b"))
-    room = firsts.withColumn("_base", F.concat_ws("/", "dest_dir", "name")).join(near, "_base", "left").withColumn("_room", F.col("_n") + F.coalesce("_b", F.lit(0)))
-    cand = room.select("dest_dir", "name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_room"))).alias("_i"))
-    cand = cand.withColumn("dest_path", F.when(F.col("_i") == 0, F.concat_ws("/", "dest_dir", "name")).otherwise(F.concat(F.col("dest_dir"), F.lit("/"), stem, F.lit("_"), F.col("_i").cast("string"), ext)))
-    free = cand.join(blocked, "dest_path", "left").filter(F.col("_there").isNull() | (~F.col("_there") & (F.col("_i") == 0)))
-    free = free.withColumn("_k", F.row_number().over(Window.partitionBy("dest_dir", "name").orderBy("_i")) - 1).select("dest_dir", "name", "_k", "dest_path")
-    return p.join(free, ["dest_dir", "name", "_k"]).select("path", "name", "dest_dir", "dest_path")
+    group = ["dest_dir", "name"]
+
+    def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+        """``rows`` with their place in their group, from 0."""
+        ranked = with_rank(rows, [*group, *order], "_g")
+        first = ranked.groupBy(*group).agg(F.min("_g").alias("_first"))
+        return ranked.join(first, group).withColumn(name, F.col("_g") - F.col("_first")).drop("_g", "_first")
+
+    files = placed(plan.filter("status = 'moved'").select("path", *group), ["path"], "_k")
+    groups = files.select(*group).distinct()
+    # names that files of a folder bear themselves block generated names only; what lies there blocks both
+    there = taken.select("dest_path") if taken is not None else groups.select(F.lit("").alias("dest_path")).limit(0)
+    own = groups.select(F.concat_ws("/", *group).alias("dest_path"))
+    made = own.unionByName(there).select(F.regexp_extract("dest_path", r"^(.*)/[^/]*$", 1).alias("dest_dir"), F.regexp_extract("dest_path", r"([^/]*)$", 1).alias("_n"))
+    parts = r"^(.+)_([1-9][0-9]{0,17})(\.[^.]*)?$"
+    made = made.select("dest_dir", F.concat(F.regexp_extract("_n", parts, 1), F.regexp_extract("_n", parts, 3)).alias("name"), F.nullif(F.regexp_extract("_n", parts, 2), F.lit("")).cast("long").alias("_b"))
+    base = there.select(F.regexp_extract("dest_path", r"^(.*)/[^/]*$", 1).alias("dest_dir"), F.regexp_extract("dest_path", r"([^/]*)$", 1).alias("name"), F.lit(0).cast("long").alias("_b"))
+    blocked = made.filter("_b is not null").unionByName(base).distinct().join(groups, group, "left_semi")
+    blocked = placed(blocked, ["_b"], "_r").select(*group, (F.col("_b") - F.col("_r")).alias("_k"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("path"))
+    both = blocked.unionByName(files.select(*group, "_k", F.lit(1).alias("_kind"), "path"))
+    number = placed(both, ["_k", "_kind", "path"], "_i").filter("_kind = 1")
+    dest = F.when(F.col("_i") == 0, F.concat_ws("/", *group)).otherwise(F.concat(F.col("dest_dir"), F.lit("/"), stem, F.lit("_"), F.col("_i").cast("string"), ext))
+    return number.select("path", "name", "dest_dir", dest.alias("dest_path"))
 
 
 def stats(plan: DataFrame) -> DataFrame:

@@ -275,6 +275,10 @@ def test_sorter(spark):
     taken = spark.createDataFrame([("/out/images/x.png",)], "dest_path string")
     got = {r.path: r.dest_path for r in sorter.resolve(plan, taken).collect()}
     assert sorted(v for k, v in got.items() if k.endswith("x.png")) == ["/out/images/x_2.png", "/out/images/x_3.png"]
+    many = spark.createDataFrame([(f"/d{i:03d}/x.png",) for i in range(12)] + [("/q/x_2.png",), ("/q/x_01.png",), ("/q/x_3_1.png",)], "path string")
+    taken = spark.createDataFrame([("/out/images/x_5.png",), ("/out/images/x_4.png",), ("/out/images/x_9.png",), ("/elsewhere/x_1.png",)], "dest_path string")
+    got = {r.path: r.dest_path for r in sorter.resolve(sorter.destinations(many, "/out"), taken).collect()}
+    assert [got[f"/d{i:03d}/x.png"].rsplit("/", 1)[1] for i in range(12)] == ["x.png", *(f"x_{k}.png" for k in (1, 3, 6, 7, 8, 10, 11, 12, 13, 14, 15))] and len(set(got.values())) == 15
 
 
 def test_classifier_cases(spark):
