@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -54,17 +55,35 @@ def test_language_id_edges(spark, sf):
     assert kept.columns == docs_of(spark, [(1, "")]).columns and [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_language_id_learns_from_its_fold_only(spark, tmp_path):
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    words = {"xx": "lorem ipsum dolor sit amet".split(), "yy": "kato hundo birdo arbo domo".split()}
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        lang = "xx" if i % 2 else "yy"
+        rows.append((i, " ".join(rng.choices(words[lang], k=20)), "zz" if out(i) else lang, "s", 1))
+    rows += [(500, "lorem lorem kato kato", None, "s", 1), (501, None, "xx", "s", 1), (None, "arbo domo", "qq", "s", 1)]
+    table(spark, rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} == {"xx", "yy", "und"}
+    for r in got:
+        if r.doc_id is not None and r.doc_id < 400:
+            assert r.lang_pred == ("xx" if r.doc_id % 2 else "yy") and r.held_out == out(r.doc_id)
+
+
 # ---------------------------------------------------------------- 2
 
 
 def brute_links(rows, limit=0.93):
+    """Links of each row, and the smallest id that it reaches."""
     ok = {}
     for k, (i, v, lab) in enumerate(rows):
         if i is None or v is None or lab is None or any(x is None or not math.isfinite(x) for x in v) or not any(v):
             continue
         x = np.array(v, float)
         ok[k] = x / np.linalg.norm(x)
-    deg, up = Counter(), {r[0]: r[0] for r in rows}
+    deg, up = Counter(), list(range(len(rows)))
 
     def find(a):
         while up[a] != a:
@@ -76,9 +95,13 @@ def brute_links(rows, limit=0.93):
             if a < b and rows[a][2] == rows[b][2] and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= limit:
                 deg[a] += 1
                 deg[b] += 1
-                x, y = find(rows[a][0]), find(rows[b][0])
+                x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
-    return deg, {i: find(i) for i in up}
+    low = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            low[find(k)] = min(low.get(find(k), r[0]), r[0])
+    return deg, {k: low.get(find(k)) for k in range(len(rows))}
 
 
 @pytest.mark.parametrize("cfg", [embed_dedup.EmbedConfig(), embed_dedup.EmbedConfig(window=16, block=8)])
@@ -93,11 +116,63 @@ def test_embedding_dedup(spark, cfg):
     rows += [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] + [1.0] * 15, 1), (n + 3, rows[5][1], None), (n + 4, [None] + [1.0] * 15, 0), (n + 5, [1.0, 2.0], 0), (n + 6, [], 0)]
     df = table(spark, [(*r, 0, "z") for r in rows], "vec_id long, embedding array<float>, label int, row int, vec string")
     deg, root = brute_links(rows)
-    for r in embed_dedup.near_duplicates(df, cfg).collect():
+    got = embed_dedup.near_duplicates(df.repartition(3), cfg).collect()
+    assert len(got) == len(rows)
+    for r in got:
         assert r.component_id == root[r.vec_id] and r.n_links == deg[r.vec_id] and r.kept == (r.vec_id == r.component_id)
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def told_apart(df, cfg=embed_dedup.EmbedConfig()):
+    return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df, cfg).collect()), key=str)
+
+
+def test_embedding_rows_and_labels(spark):
+    kind = "vec_id long, embedding array<double>, label "
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [1.0, 0.02], 1), (5, [0.0, 1.0], 2), (5, [0.0, 1.0], 2), (None, [1.0, 0.0], 1), (7, [0.93, math.sqrt(1 - 0.93**2)], 3), (8, [1e200, 0.0], 3), (9, [5e-300, 0.0], 4)]
+    want = sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (5, 1, 5, True), (5, 1, 5, True), (None, 0, None, None), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True)], key=str)
+    assert told_apart(table(spark, rows, kind + "int")) == want
+    assert told_apart(table(spark, [(i, v, f"a{x}") for i, v, x in rows], kind + "string")) == want
+    assert told_apart(table(spark, [(i, v, x / 10 + 1) for i, v, x in rows], kind + "double")) == want
+    assert told_apart(table(spark, [(i, v, [x, None]) for i, v, x in rows], kind + "array<int>")) == want
+    assert told_apart(table(spark, [(1, [1.0], -0.0), (2, [1.0], 0.0), (3, [1.0], 1.2), (4, [1.0], 1.7)], kind + "double")) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+    long = [(i, np.random.default_rng(i // 2).normal(size=4000).tolist(), 1) for i in range(6)]
+    assert [r[1:3] for r in told_apart(table(spark, long, kind + "int"))] == [(1, 0), (1, 0), (1, 2), (1, 2), (1, 4), (1, 4)]
+
+
+def test_embedding_label_that_lies_close_together(spark):
+    """Vectors with a common mean (cosine 0.8 with each other) and planted pairs just over the limit: sign planes through the origin would hardly part them."""
+    rng = np.random.default_rng(2)
+    n, d = 6000, 32
+    mean = np.zeros(d)
+    mean[0] = math.sqrt(0.8)
+    x = rng.normal(size=(n, d - 1))
+    x = np.hstack([np.full((n, 1), mean[0]), math.sqrt(0.2) * x / np.linalg.norm(x, axis=1, keepdims=True)])
+    for a in range(0, 200, 2):  # the partner at cosine 0.935
+        r, s = x[a, 1:] / math.sqrt(0.2), rng.normal(size=d - 1)
+        s -= (s @ r) * r
+        s /= np.linalg.norm(s)
+        c = (0.935 - 0.8) / 0.2
+        x[a + 1, 1:] = math.sqrt(0.2) * (c * r + math.sqrt(1 - c * c) * s)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    hit = x @ x.T >= 0.93
+    np.fill_diagonal(hit, False)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, embed_dedup.EmbedConfig(passes_per_job=16)).collect()}
+    assert [got[i] for i in range(n)] == hit.sum(1).tolist() and hit[0, 1]
+
+
+def test_forest():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 9, 40):
+        hit = rng.random((n, n)) < 1.5 / n
+        hit |= hit.T
+        np.fill_diagonal(hit, False)
+        group = np.arange(n)
+        edges = embed_dedup.forest(hit, group)
+        reach = np.linalg.matrix_power((hit | np.eye(n, dtype=bool)).astype(float), n) > 0
+        assert (reach == (group[:, None] == group[None])).all() and len(edges) == n - len(set(group.tolist())) and all(hit[a, b] for a, b in edges)
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -191,6 +266,22 @@ def test_preference(spark):
     assert preference.format_pairs(df.limit(0)).count() == 0
 
 
+def test_preference_agrees_with_sql(spark):
+    """Null turns, roles and texts, ties, a conversation without numbered answers, marks in texts, very long turns."""
+    rng = random.Random(8)
+    rows = [(10, None, "assistant", "no number"), (10, None, "user", "none"), (11, 1, "assistant", "yes"), (11, None, None, None), (20, 1, "user", "q"), (20, 2, "assistant", None), (21, 1, "user", "q"), (21, 2, "assistant", "<|end|>"), (21, 2, "assistant", "<|a"), (30, 1, "assistant", "w" * 300_000), (31, 1, "assistant", "é" * 10), (None, 1, "user", "x"), (40, 5, "user", "alone")]
+    for c in range(100, 130):
+        for k in range(rng.randint(1, 700 if c < 103 else 8)):
+            rows.append((c, rng.choice([k, k, k, None, 0]), rng.choice(["user", "assistant", None, "system"]), rng.choice(["a", "b", None, "long text <| here", "ü"])))
+    df = table(spark, [(*r, "z") for r in rows], "conv_id long, turn int, role string, text string, part string")
+    got = preference.format_pairs(preference.neighbour_pairs(df.repartition(3)), span=16).toPandas()
+    con = duckdb.connect()
+    conversations = df.toArrow()  # noqa: F841
+    want = con.execute(preference.SQL).df()
+    key = lambda d: sorted(map(repr, d[sorted(want.columns)].itertuples(index=False, name=None)))
+    assert len(got) == len(want) and key(got) == key(want)
+
+
 # ---------------------------------------------------------------- 6
 
 
@@ -223,11 +314,17 @@ def test_automaton(first, inner, words):
 
 def test_piece_counts(spark):
     pieces = set(piece_counts.byte_level_pieces(queries.vocabulary()))
-    texts = ["Hello, brave new WORLD!", None, "", "naïve " * 3000, "x" * 3000, "日本 3.5"]
+    texts = ["Hello, brave new WORLD!", None, "", "naïve " * 3000, "x" * 3000, "日本 3.5", "the" * 400_000, "ab" * 128 + " " + "ab" * 129]
     got = {r.doc_id: r for r in piece_counts.count_pieces(docs_of(spark, list(enumerate(texts))), queries.vocabulary()).collect()}
     for i, t in enumerate(texts):
         words = re.findall(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]", (t or "").lower().encode())
-        assert (got[i].n_words, got[i].n_pieces) == (len(words), sum(greedy(w, pieces, pieces) for w in words))
+        if i != 6:
+            assert (got[i].n_words, got[i].n_pieces) == (len(words), sum(greedy(w, pieces, pieces) for w in words))
+    auto = piece_counts._automaton(queries.vocabulary(), None)
+    short = np.frombuffer(b"the" * 80, np.uint8)  # the same word, short enough for the other way
+    assert got[6].n_pieces == auto.count(short, np.array([0]), np.array([240]))[0][0] * 5000
+    assert piece_counts.count_pieces(docs_of(spark, [(None, "a b"), (None, "a b")]), queries.vocabulary()).count() == 2
+    assert piece_counts.count_pieces(docs_of(spark, [(1, "a")]).limit(0), queries.vocabulary()).count() == 0
 
 
 # ---------------------------------------------------------------- 7
@@ -248,15 +345,16 @@ def test_decontamination(spark):
         7: " ".join(other.split()[:8]) + " " + pad,  # under the run
         8: " ".join(other.split()[2:18]) + " " + pad,
         9: "yes seven plain words make one short item indeed",
-        10: "too short",
+        10: "Too SHORT!",
+        12: "not too short",
         11: " ".join("5 6 7 8".split() * 50),
     }
     docs = docs_of(spark, [*texts.items(), (1, texts[1]), (None, texts[2])])
     for cfg in (decontaminate.DecontamConfig(), decontaminate.DecontamConfig(broadcast_windows=0)):
         got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.find_leaks(docs, items, cfg).collect()}
-        assert got == {(1, 1): True, (2, 1): False, (None, 1): False, (8, 2): True, (9, 5): True}
+        assert got == {(1, 1): True, (2, 1): False, (None, 1): False, (8, 2): True, (9, 5): True, (10, 3): True}
     left = decontaminate.clean_documents(docs, items)
-    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 7, 10, 11] and left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 7, 11, 12] and left.columns == docs.columns
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), items).count() == 0
 
 
@@ -298,6 +396,45 @@ def test_decontamination_of_names_at_sentence_starts(spark):
     assert got == {(1, 1): False, (2, 1): True, (4, 1): True, (5, 2): False, (7, 2): False}
 
 
+def test_decontamination_agrees_with_sql(spark):
+    """Against DuckDB's lists of words: random texts of few words with names, numbers and units, items of all lengths, repeats, and pages of nothing but slots."""
+    rng = random.Random(12)
+    pool = "the a old mill river sold eggs Anna Ben Carla Dora Émile 3 5 12 7.5 km hours Minutes and to noon she It when".split()
+    say = lambda n: " ".join(w + rng.choice(["", "", ",", ". ", "!"]) for w in rng.choices(pool, k=n))
+    items = [(i, say(n)) for i, n in enumerate([1, 2, 4, 5, 6, 7, 8, 9, 12, 13, 14, 20, 33, 60] * 2)] + [(90, "5 6 7 8 9 1 2 3 4 5 6 7 8 9"), (91, None), (92, ""), (0, "Is it 5?")]
+    swap = {"Anna": "Vera", "Ben": "Otto", "3": "4", "5": "9", "12": "40"}
+    docs = []
+    for i in range(160):
+        text = rng.choice(items[:28])[1]
+        kind = i % 5
+        if kind == 1:
+            text = text.lower()
+        elif kind == 2:
+            text = re.sub(r"\w+", lambda m: swap.get(m[0], m[0]), text)
+        elif kind == 3:
+            w = text.split()
+            text = " ".join(w[rng.randint(0, 3) : len(w) - rng.randint(0, 3)])
+        docs.append((i, text if kind == 4 else f"{say(rng.randint(0, 30))} {text} {say(rng.randint(0, 30))}"))
+    docs += [(200, items[13][1]), (200, items[13][1]), (None, "x " + items[13][1]), (201, None), (202, ""), (203, "5 6 7 8 " * 400), (204, "it is 5"), (205, "IS it 5"), (206, "Anna Ben " * 300)]
+    d, b = docs_of(spark, docs).select("doc_id", "text", "lang", "n"), table(spark, items, "item_id int, text string")
+    con = duckdb.connect()
+    documents, benchmark = d.toArrow(), b.toArrow()  # noqa: F841
+    want = con.execute(decontaminate.sql()).df()
+    for cfg in (decontaminate.DecontamConfig(), decontaminate.DecontamConfig(broadcast_windows=0)):
+        got = decontaminate.find_leaks(d, b, cfg).drop("row_id").toPandas()
+        key = lambda x: sorted(map(repr, x[sorted(want.columns)].astype(str).replace({"nan": "None", "<NA>": "None"}).itertuples(index=False, name=None)))
+        assert len(got) > 60 and [x.replace(".0'", "'") for x in key(got)] == [x.replace(".0'", "'") for x in key(want)]
+
+
+def test_decontamination_of_a_page_of_numbers(spark):
+    """The work is linear in a text, whatever repeats in it."""
+    items = table(spark, [(1, " ".join(str(i) for i in range(40))), (2, "x 5 " * 20), (3, "one plain question that nobody would ever ask of a page of numbers like this one")], "item_id int, text string")
+    docs = docs_of(spark, [(1, " ".join(str(i % 97) for i in range(20_000))), (2, "x 7 " * 3000), (3, "y 7 " * 3000)])
+    start = time.time()
+    got = {(r.doc_id, r.item_id, r.verbatim) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(2, 2, False)} and time.time() - start < 120
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -325,6 +462,27 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), train.limit(0))).count() == 0
 
 
+def test_toxicity_learns_from_its_fold_only(spark, tmp_path):
+    """Labels of held-out rows may say anything: no score changes. Null labels, ids and texts, repeated and very long rows."""
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("alpha beta gamma delta omega".split(), k=12) + ["vilebug"] * (i % 3 == 0)), "en", "s", 1) for i in range(300)]
+    rows += [(300, None, "en", "s", 1), (301, "", None, None, 1), (302, "vilebug " + "alpha beta " * 60_000, "en", "s", 1), (5, rows[5][1], "en", "s", 1), (None, "alpha vilebug", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    seen = []
+    for flip in (False, True):
+        at = f"{tmp_path}/{flip}"
+        table(spark, rows, schema).coalesce(1).write.parquet(f"{at}/documents.parquet")
+        labels = [(i, 1, int(i % 3 == 0) ^ int(flip and out(i))) for i in range(300)] + [(None, 1, 1), (4, 0, None)]
+        table(spark, labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{at}/labels.parquet")
+        got = queries.op8_toxicity(spark, at).collect()
+        assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+        assert all(r.held_out == out(r.doc_id) for r in got if r.doc_id is not None)
+        seen.append(sorted((str(r.doc_id), round(r.score, 9)) for r in got))
+        assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in got if r.doc_id is not None and r.doc_id < 300) >= 297
+    assert seen[0] == seen[1]
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -343,6 +501,10 @@ def test_lm_scoring(spark):
             for k in range(1, 4):
                 for e in range(2, len(s)):
                     n[k][s[e - k + 1 : e + 1]] += 1
+        follow = [Counter() for _ in range(4)]  # how often a context was followed by a byte
+        for k in range(1, 4):
+            for gram, times in n[k].items():
+                follow[k][gram[:-1]] += times
         scale = sum(len(raw[i]) for i, _, g in texts if g) / sum(len(raw[i]) for i in chosen)
         total = sum(len(raw[i]) for i in chosen) * scale
         for i, s0 in raw.items():
@@ -351,8 +513,7 @@ def test_lm_scoring(spark):
                 p = 1 / 256
                 for k in range(1, 4):
                     c = n[k][s[e - k + 1 : e + 1]] * scale
-                    ctx = total if k == 1 else (n[k - 1][s[e - k + 1 : e]] * scale if e > 2 else 0.0)
-                    ctx = max(ctx, c)
+                    ctx = total if k == 1 else follow[k][s[e - k + 1 : e]] * scale
                     p = (c + cfg.prior * p) / (ctx + cfg.prior)
                 loss -= math.log(p)
             losses[name, i] = loss / max(1, len(s0))
@@ -363,6 +524,26 @@ def test_lm_scoring(spark):
     assert lm_score.score(df.limit(0), lm_score.fit(df.limit(0), "good", cfg)).count() == 0
 
 
+def test_lm_scoring_odd_rows(spark):
+    """Null ids, repeated rows, a very long text beside many empty ones, and probabilities that sum to one."""
+    long = "the cat sat on the mat " * 40_000
+    rows = [(None, "the cat", True), (None, None, True), (1, "the cat", False), (1, "the cat", False), (2, long, True), *[(10 + i, "", False) for i in range(50)], (3, "zzz", None)]
+    df = table(spark, rows, "doc_id long, text string, good boolean").repartition(3)
+    cfg = lm_score.LmConfig(order=3, part_bytes=4000)
+    model = lm_score.fit(df, "good", cfg)
+    got = lm_score.score(df, model).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    same = {(r.n_tokens, round(r.score, 12)) for r in got if r.n_tokens == 7}
+    assert len(same) == 1 and all(r.score == 0 for r in got if r.n_tokens == 0) and next(r for r in got if r.doc_id == 2).n_tokens == len(long)
+    counts = {r.gram: (r.target, r.background, r.target_end, r.background_end) for r in model.counts.collect()}
+    key = np.array(sorted(counts))
+    n = np.array([counts[k] for k in key.tolist()])
+    for context in (b"th", b" c", b"zz", b"at", b"\0t", b"\0\0"):  # also such as end and begin texts
+        grams = np.array([context[0] << 16 | context[1] << 8 | b for b in range(256)], np.int64)
+        p = np.exp(-lm_score.losses(grams, key, n, model.totals, cfg, model.texts if context == b"\0\0" else None))
+        assert np.allclose(p.sum(0), 1)
+
+
 def test_lm_scoring_counts_every_ngram_apart(spark):
     """More distinct 5-grams than 2^20: each has its own count, whatever the size of the corpus."""
     rng = np.random.default_rng(4)
@@ -378,7 +559,7 @@ def test_lm_scoring_counts_every_ngram_apart(spark):
     assert longest.filter("background > 1").count() == sum(n > 1 for n in want.values())
     some = df.filter("doc_id in (1, 2, 50)")
     one = lm_score.score(some, model).collect()
-    many = lm_score.score(some, lm_score.LmModel(model.counts, model.totals, lm_score.LmConfig(part_bytes=150_000))).collect()
+    many = lm_score.score(some, lm_score.LmModel(model.counts, model.totals, model.texts, lm_score.LmConfig(part_bytes=150_000))).collect()
     key = lambda rs: {r.doc_id: (r.n_tokens, round(r.loss_target, 9), round(r.score, 9)) for r in rs}
     assert key(one) == key(many) and len(one) == 3
 
