@@ -11,9 +11,10 @@ table that grows with the corpus and is never held whole.
 Scoring deals documents in parts of about ``part_bytes``, each written once. A part asks the table for its distinct n-grams (a join by n-gram), and its documents meet the
 answers in one group by part, so a task holds the n-grams of one part only.
 
-p_k(b | c) = (n(c b) + m p_{k-1}(b | c')) / (n(c) + m), c' being c without its first byte and p_0 uniform over 256 bytes.
+p_k(b | c) = (n(c b) + m p_{k-1}(b | c')) / (n(c .) + m), c' being c without its first byte, n(c .) the times that c was followed by a byte (so the ends of texts are counted too, and the
+probabilities of a context sum to one), and p_0 uniform over 256 bytes. The start of a text is a context like another.
 
-Defined cases: a null or empty text has 0 tokens, losses 0 and score 0. No target document: the target model is uniform. Repeated rows count each time.
+Defined cases: a null or empty text has 0 tokens, losses 0 and score 0. No target document: the target model is uniform. Repeated rows and rows with a null id count and are scored each.
 Extra columns are ignored; a null target mark means no.
 """
 
@@ -47,11 +48,17 @@ class LmConfig:
 
 @dataclass
 class LmModel:
-    counts: DataFrame  # gram (with its order in the top byte), target, background
+    counts: DataFrame  # gram (with its order in the top byte), target, background, and how many of these end a text
     totals: tuple[int, int]
+    texts: tuple[int, int]  # texts that are not empty
     cfg: LmConfig
 
 
+#: Columns of counts: of the target and of all, anywhere and at the end of a text.
+_COUNTS = ("target", "background", "target_end", "background_end")
+_COUNT_TYPES = ", ".join(f"{c} long" for c in _COUNTS)
+
+
 def _grams(data: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
     """The longest n-gram that ends at each byte, its last byte lowest. Bytes before a document's first are 0."""
     m, pad = len(off) - 1, order - 1
@@ -76,7 +83,7 @@ def _keys(gram: Column, order: int) -> Column:
 def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     gram, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
     n = np.concatenate([c for _, c in held])
-    return gram, np.stack([np.bincount(at, n[:, i], len(gram)) for i in range(2)], 1).astype(np.int64)
+    return gram, np.stack([np.bincount(at, n[:, i], len(gram)) for i in range(len(_COUNTS))], 1).astype(np.int64)
 
 
 def fit(docs: DataFrame, target: str, cfg: LmConfig = LmConfig()) -> LmModel:
@@ -90,11 +97,15 @@ def fit(docs: DataFrame, target: str, cfg: LmConfig = LmConfig()) -> LmModel:
             for lo, hi, data, off in shared.chunks(shared.utf8(batch, "text")):
                 every = _grams(data, off, cfg.order)
                 gram, n = np.unique(every, return_counts=True)
-                both = np.stack([np.zeros_like(n), n], 1)
-                inside = np.repeat(mark[lo:hi], np.diff(off))
-                if inside.any():
-                    chosen, n = np.unique(every[inside], return_counts=True)
-                    both[np.searchsorted(gram, chosen), 0] = n
+                both = np.zeros((len(gram), len(_COUNTS)), np.int64)
+                both[:, 1] = n
+                full = np.diff(off) > 0
+                last = off[1:][full] - 1
+                marked = mark[lo:hi]
+                for column, some in ((0, every[np.repeat(marked, np.diff(off))]), (2, every[last[marked[full]]]), (3, every[last])):
+                    if len(some):
+                        chosen, n = np.unique(some, return_counts=True)
+                        both[np.searchsorted(gram, chosen), column] = n
                 held.append((gram, both))
                 size += len(gram)
                 if size > cfg.held_grams:
@@ -110,35 +121,36 @@ def fit(docs: DataFrame, target: str, cfg: LmConfig = LmConfig()) -> LmModel:
         gram, n = held[0]
         for lo in range(0, len(gram), 1 << 16):
             s = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(gram[s]), pa.array(n[s, 0]), pa.array(n[s, 1])], ["gram", "target", "background"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[s]), *(pa.array(n[s, i]) for i in range(len(_COUNTS)))], ["gram", *_COUNTS])
 
     tmp = shared.Scratch(docs.sparkSession, "lm")
-    sums = [F.sum("target").alias("target"), F.sum("background").alias("background")]
-    part = docs.select("text", target).mapInArrow(count, "gram long, target long, background long")
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    part = docs.select("text", target).mapInArrow(count, f"gram long, {_COUNT_TYPES}")
     longest = part.groupBy("gram").agg(*sums)
-    counts = tmp.write(longest.select(F.explode(_keys(F.col("gram"), cfg.order)).alias("gram"), "target", "background").groupBy("gram").agg(*sums))
+    counts = tmp.write(longest.select(F.explode(_keys(F.col("gram"), cfg.order)).alias("gram"), *_COUNTS).groupBy("gram").agg(*sums))
     one = counts.filter(F.shiftright("gram", _ORDER_AT) == 1).agg(*sums).first()
-    return LmModel(counts, (one[0] or 0, one[1] or 0), cfg)
+    return LmModel(counts, (one[0] or 0, one[1] or 0), (one[2] or 0, one[3] or 0), cfg)
 
 
-def losses(gram: np.ndarray, key: np.ndarray, n: np.ndarray, totals: tuple[int, int], cfg: LmConfig, first: bool = False) -> np.ndarray:
-    """Loss of the last byte of each n-gram under both models; ``key`` (sorted) and ``n`` are the counts that it asks for. ``first``: of a document's first byte, whose contexts are unseen."""
+def losses(gram: np.ndarray, key: np.ndarray, n: np.ndarray, totals: tuple[int, int], cfg: LmConfig, texts: tuple[int, int] | None = None) -> np.ndarray:
+    """Loss of the last byte of each n-gram under both models; ``key`` (sorted) and ``n`` are the counts that it asks for. ``texts``: of a document's first byte, whose context is the start of a text."""
     scale = np.array([1.0, totals[0] / totals[1] if totals[0] else 1.0])
 
     def look(of: np.ndarray, k: int) -> np.ndarray:
         want = _key(of, k)
         at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-        return np.where((key[at] == want)[:, None], n[at], 0) * scale
+        return np.where((key[at] == want)[:, None], n[at], 0)
 
     p = np.full((len(gram), 2), 1 / 256)
     for k in range(1, cfg.order + 1):
-        seen = look(gram, k)
-        if k == 1:
-            context = np.broadcast_to(totals * scale, seen.shape)
+        seen = look(gram, k)[:, :2] * scale
+        if k == 1 or texts is not None:
+            context = np.broadcast_to((totals if k == 1 else texts) * scale, seen.shape)
         else:
-            # the context of a k-gram is the (k-1)-gram that ended one byte earlier
-            context = np.zeros_like(seen) if first else look(gram >> 8, k - 1)
-        p = (cfg.prior * p + np.minimum(seen, np.where(context > 0, context, seen) if k > 1 else seen)) / (np.maximum(context, seen) + cfg.prior)
+            # the context of a k-gram is the (k-1)-gram that ended one byte earlier, where the text went on
+            before = look(gram >> 8, k - 1)
+            context = (before[:, :2] - before[:, 2:]) * scale
+        p = (seen + cfg.prior * p) / (np.maximum(context, seen) + cfg.prior)
     return -np.log(p)
 
 
@@ -157,7 +169,7 @@ def _parts(docs: DataFrame, cfg: LmConfig, id_col: str, kind: str) -> DataFrame:
 
 def score(docs: DataFrame, model: LmModel, id_col: str = "doc_id") -> DataFrame:
     """Per row: id, n_tokens, loss_target, loss_background (means per token), score."""
-    cfg, totals = model.cfg, model.totals
+    cfg, totals, texts = model.cfg, model.totals, model.texts
     kind = docs.schema[id_col].dataType.simpleString()
     # written, for the parts must be the same when they ask and when they are scored
     parts = shared.Scratch(docs.sparkSession, "lm-parts").write(_parts(docs, cfg, id_col, kind))
@@ -187,11 +199,11 @@ def score(docs: DataFrame, model: LmModel, id_col: str = "doc_id") -> DataFrame:
 
     def judge(rows: pa.Table, known: pa.Table) -> pa.Table:
         key, at = np.unique(known.column("gram").to_numpy(), return_index=True)
-        counts = np.stack([known.column(c).to_numpy()[at] for c in ("target", "background")], 1)
+        counts = np.stack([known.column(c).to_numpy()[at] for c in _COUNTS], 1)
         gram = key[key >> _ORDER_AT == cfg.order] & ((1 << 8 * cfg.order) - 1)
         n, total = np.zeros(rows.num_rows, np.int64), np.zeros((rows.num_rows, 2))
         if len(gram):
-            inner, outer = losses(gram, key, counts, totals, cfg), losses(gram, key, counts, totals, cfg, True)
+            inner, outer = losses(gram, key, counts, totals, cfg), losses(gram, key, counts, totals, cfg, texts)
             for lo, hi, data, off in shared.chunks(pc.utf8_lower(rows.column("text"))):
                 n[lo:hi] = np.diff(off)
                 full = np.flatnonzero(np.diff(off) > 0)
@@ -204,6 +216,5 @@ def score(docs: DataFrame, model: LmModel, id_col: str = "doc_id") -> DataFrame:
         return pa.table([rows.column(id_col), pa.array(n), pa.array(total[:, 0]), pa.array(total[:, 1]), pa.array(total[:, 1] - total[:, 0])], [id_col, "n_tokens", "loss_target", "loss_background", "score"])
 
     asked = parts.select("part", "text").mapInArrow(ask, "part long, gram long")
-    zero = F.lit(0).cast("long")
-    known = asked.join(model.counts.hint("merge"), "gram", "left").select("part", "gram", F.coalesce("target", zero).alias("target"), F.coalesce("background", zero).alias("background"))
+    known = asked.join(model.counts.hint("merge"), "gram", "left").na.fill(0, list(_COUNTS)).select("part", "gram", *_COUNTS)
     return parts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(judge, f"{id_col} {kind}, n_tokens long, loss_target double, loss_background double, score double")
