@@ -14,47 +14,52 @@ leaves the other whole as completion. Equal conversations give a prompt and no c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.llm import shared
+
 #: The template's marks.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
 
-def _running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, span: int) -> DataFrame:
-    """``name``: the sum of ``value`` over the rows of the same keys before this one; no window holds more than the rows of one span."""
-    df = df.withColumn("_v", value).withColumn("_span", F.floor(F.col(order[0]) / span))
-    by = [*keys, "_span"]
-    inner = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*by).agg(F.sum("_v").alias("_s"))
-    sums = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_span")) - F.col("_s"))
-    sums = sums.select(*[F.col(c).alias(f"_r_{c}") for c in by], "_before")
-    df = df.withColumn("_inner", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
-    on = F.lit(True)
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return df.join(sums, on).withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).drop("_v", "_span", "_inner", "_before", *[f"_r_{c}" for c in by])
-
-
 def format_pairs(turns: DataFrame, span: int = 256) -> DataFrame:
-    """``turns``: pair_id, side (chosen or rejected), turn, role, text. Per turn and part: pair_id, part, seq, role, segment, start, mask_start, mask_end (-1: no loss)."""
-    t = turns.select("pair_id", "side", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit(OPEN), F.lit("< |")).alias("text"))
+    """``turns``: pair_id, side (chosen or rejected), turn, role, text. Per turn and part: pair_id, part, seq, role, segment, start, mask_start, mask_end (-1: no loss).
+
+    Whole turns cross the network twice: once to be ordered within spans of turn numbers, once to meet one small row a span, which says where the span begins and where the
+    two sides part. What lies between works on hashes and lengths.
+    """
+    tmp = shared.Scratch(turns.sparkSession, "preference")
+    keys = ["pair_id", "side", "span"]
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(OPEN), F.lit("< |"))
+    t = turns.select("pair_id", "side", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), text.alias("text"))
     t = t.filter(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected"))
-    t = _running(t, ["pair_id", "side"], ["turn", "role", "text"], F.lit(1), "at", span)
-    # Both sides of a place meet on (pair, place): never a whole conversation.
-    place = t.groupBy("pair_id", "at").agg(F.count("*").alias("sides"), F.count_distinct(F.struct("role", "text")).alias("kinds"))
-    differ = place.groupBy("pair_id").agg(F.coalesce(F.min(F.when((F.col("sides") < 2) | (F.col("kinds") > 1), F.col("at"))), F.max("at") + 1).alias("first"))
-    t = t.join(differ, "pair_id")
-    part = F.when(F.col("at") < F.col("first"), "prompt").otherwise(F.col("side"))
-    t = t.withColumn("part", part).filter((F.col("part") != "prompt") | (F.col("side") == "chosen"))
-    t = t.withColumn("seq", F.when(F.col("part") == "prompt", F.col("at")).otherwise(F.col("at") - F.col("first")))
+    t = t.withColumn("span", F.coalesce(F.floor(F.col("turn") / span), F.lit(-1 << 62)))  # null turns come first
     head = F.concat(F.lit(OPEN), F.col("role"), F.lit(CLOSE))
-    t = t.withColumn("segment", F.concat(head, F.col("text"), F.lit(END)))
-    t = _running(t, ["pair_id", "part"], ["seq"], F.length("segment"), "start", span)
-    loss = (F.col("part") != "prompt") & (F.col("role") == "assistant")
-    begin = F.when(loss, F.col("start") + F.length(head)).otherwise(-1).cast("long")
-    end = F.when(loss, F.col("start") + F.length("segment") - 1).otherwise(-1).cast("long")
-    return t.select("pair_id", "part", F.col("seq").cast("long").alias("seq"), "role", "segment", "start", begin.alias("mask_start"), end.alias("mask_end"))
+    t = t.withColumn("segment", F.concat(head, F.col("text"), F.lit(END))).withColumn("size", F.length("segment"))
+    order = Window.partitionBy(*keys).orderBy("turn", "role", "text")
+    t = t.withColumn("inner", F.row_number().over(order) - 1).withColumn("inner_size", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    t = tmp.write(t.select(*keys, "inner", "inner_size", "role", "segment", "size", F.length(head).alias("head")))
+
+    spans = t.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    ahead = Window.partitionBy("pair_id", "side").orderBy("span")
+    spans = tmp.write(spans.select(*keys, (F.sum("n").over(ahead) - F.col("n")).alias("before"), (F.sum("s").over(ahead) - F.col("s")).alias("before_size")))
+    # both sides of a place meet on (pair, place), as a hash of 128 bits: never a whole conversation
+    slim = t.select(*keys, "inner", "inner_size", F.xxhash64("role", "segment").alias("h"), F.xxhash64(F.lit("second"), "segment", "role").alias("g")).join(spans, keys)
+    place = slim.groupBy("pair_id", (F.col("before") + F.col("inner")).alias("at")).agg(F.count("*").alias("sides"), F.min(F.col("before_size") + F.col("inner_size")).alias("start"), *[f(c).alias(f"{n}_{c}") for c in "hg" for n, f in (("lo", F.min), ("hi", F.max))])
+    apart = (F.col("sides") < 2) | (F.col("lo_h") != F.col("hi_h")) | (F.col("lo_g") != F.col("hi_g"))
+    cut = place.groupBy("pair_id").agg(F.min(F.when(apart, F.struct("at", "start"))).alias("x"), F.max("at").alias("most"))
+    cut = cut.select("pair_id", F.coalesce("x.at", F.col("most") + 1).alias("first"), F.coalesce("x.start", F.lit(0)).alias("base"))
+    marks = tmp.write(spans.join(cut, "pair_id"))
+
+    t = t.join(marks, keys).withColumn("at", F.col("before") + F.col("inner")).withColumn("prompt", F.col("at") < F.col("first"))
+    t = t.filter(~F.col("prompt") | (F.col("side") == "chosen"))
+    here = lambda c, base: F.when(F.col("prompt"), c).otherwise(c - base).cast("long")
+    t = t.withColumn("seq", here(F.col("at"), F.col("first"))).withColumn("start", here(F.col("before_size") + F.col("inner_size"), F.col("base")))
+    loss = ~F.col("prompt") & (F.col("role") == "assistant")
+    begin = F.when(loss, F.col("start") + F.col("head")).otherwise(-1).cast("long")
+    end = F.when(loss, F.col("start") + F.col("size") - 1).otherwise(-1).cast("long")
+    return t.select("pair_id", F.when(F.col("prompt"), "prompt").otherwise(F.col("side")).alias("part"), "seq", "role", "segment", "start", begin.alias("mask_start"), end.alias("mask_end"))
 
 
 def render(segments: DataFrame) -> DataFrame:
@@ -68,17 +73,18 @@ def render(segments: DataFrame) -> DataFrame:
 
 def neighbour_pairs(conversations: DataFrame) -> DataFrame:
     """Pairs made of a table without any: chosen is a conversation up to its last assistant turn; rejected is the same with that answer replaced by the
-    last answer of the conversation whose id differs in the lowest bit. Without an answer or a neighbour with one, only chosen has turns."""
+    last answer of the conversation whose id differs in the lowest bit. Without an answer or a neighbour with one, only chosen has turns. A turn without a number is no answer; it
+    belongs to both sides."""
     c = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").filter("pair_id is not null")
-    answers = c.filter("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("a"))
-    answers = answers.select("pair_id", F.col("a.turn").alias("last"), F.col("a.text").alias("answer"))
+    answers = c.filter("role = 'assistant' and turn is not null").groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("a"))
+    answers = shared.Scratch(conversations.sparkSession, "answers").write(answers.select("pair_id", F.col("a.turn").alias("last"), F.col("a.text").alias("answer")))
     other = answers.select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("answer").alias("wrong"))
     both = answers.join(other, "pair_id").select("pair_id", "last", "wrong")
-    t = c.join(both, "pair_id", "left")
-    chosen = t.filter("last is null or turn is null or turn <= last").select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
-    prefix = t.filter("last is not null and (turn is null or turn < last)").select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text")
+    early = F.col("turn").isNull() | (F.col("turn") < F.col("last"))
+    sides = F.when(F.col("last").isNull() | (F.col("turn") == F.col("last")), F.array(F.lit("chosen"))).when(early, F.array(F.lit("chosen"), F.lit("rejected")))
+    kept = c.join(both.select("pair_id", "last"), "pair_id", "left").select("pair_id", F.explode(sides).alias("side"), "turn", "role", "text")
     swap = both.select("pair_id", F.lit("rejected").alias("side"), F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("wrong").alias("text"))
-    return chosen.unionByName(prefix).unionByName(swap)
+    return kept.unionByName(swap)
 
 
 #: The query over ``conversations`` in DuckDB's SQL, with one plain window a conversation.
@@ -88,10 +94,11 @@ answers AS (SELECT pair_id, max(turn) AS fin FROM c WHERE raw_role = 'assistant'
 answer AS (SELECT a.pair_id, a.fin, max(c.text) AS answer FROM answers a JOIN c ON c.pair_id = a.pair_id AND c.turn = a.fin AND c.raw_role = 'assistant' GROUP BY ALL),
 both_sides AS (SELECT a.pair_id, a.fin, b.answer AS wrong FROM answer a JOIN answer b ON b.pair_id = xor(a.pair_id, 1)),
 t AS (
-  SELECT c.pair_id, 'chosen' AS side, turn, role, text FROM c LEFT JOIN both_sides b ON b.pair_id = c.pair_id WHERE b.fin IS NULL OR turn <= b.fin
-  UNION ALL SELECT c.pair_id, 'rejected', turn, role, text FROM c JOIN both_sides b ON b.pair_id = c.pair_id WHERE turn < b.fin
+  SELECT c.pair_id, 'chosen' AS side, turn, role, text FROM c LEFT JOIN both_sides b ON b.pair_id = c.pair_id WHERE b.fin IS NULL OR turn IS NULL OR turn <= b.fin
+  UNION ALL SELECT c.pair_id, 'rejected', turn, role, text FROM c JOIN both_sides b ON b.pair_id = c.pair_id WHERE turn IS NULL OR turn < b.fin
   UNION ALL SELECT pair_id, 'rejected', fin, 'assistant', wrong FROM both_sides),
-o AS (SELECT pair_id, side, role, replace(text, '<|', '< |') AS text, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) - 1 AS pos FROM t),
+r AS (SELECT pair_id, side, turn, role, replace(text, '<|', '< |') AS text FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM r),
 place AS (SELECT pair_id, pos, count(*) AS sides, count(DISTINCT (role, text)) AS kinds FROM o GROUP BY ALL),
 f AS (SELECT pair_id, coalesce(min(CASE WHEN sides < 2 OR kinds > 1 THEN pos END), max(pos) + 1) AS cut FROM place GROUP BY pair_id),
 p AS (SELECT o.pair_id, CASE WHEN pos < cut THEN 'prompt' ELSE side END AS part, CASE WHEN pos < cut THEN pos ELSE pos - cut END AS seq, role, '<|' || role || '|>' || chr(10) AS head, text
