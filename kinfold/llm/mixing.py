@@ -9,13 +9,13 @@ A source's budget b_i buys whole epochs, each a permutation of its documents by
 crosses the budget. A copy's place in its source's stream, (tokens before it) / b_i, puts it in one of the blocks of about ``block_tokens`` of
 the mixture, so every block has the target weights.
 
-Running sums have two levels: documents fall in hash buckets of about ``bucket_rows`` rows; sums of buckets are added up per source and only then sums inside
-a bucket. No window holds more than a bucket or one row a bucket, however large a source is. What comes to the driver is some sums.
+Running sums have three levels: documents fall in hash buckets of about ``bucket_rows`` rows, buckets in groups of ``group_buckets``; sums of groups are added up per source, then sums of
+buckets in a group and sums inside a bucket. No window holds more than a bucket, a group, or one row a group, however large a source is. What comes to the driver is some sums.
 
 Tokens are words, runs of anything but white space (0x20, 0x09-0x0D).
 
 Defined cases: a null text has no tokens; a null source is the source ''. A source without tokens has weight 0 and its documents come once. Rows with equal ids
-are ordered by their tokens; equal rows take neighbouring places. Empty table: no rows. Of clashing extra columns only those asked for are carried.
+are ordered by their tokens; equal rows take neighbouring places. Empty table: no rows. Of extra columns only those asked for are carried.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ class MixConfig:
     max_repeat: float = 1.5
     block_tokens: int = 1 << 16
     bucket_rows: int = 512
+    group_buckets: int = 1024
     seed: int = 17
     steps: int = 40
     broadcast_sources: int = 50_000
@@ -120,21 +121,29 @@ def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", s
         return df.withColumn("bucket", F.floor(F.col("key") / F.lit(float(1 << 48)) * buckets).cast("int"))
 
     sums = copies(slim).groupBy("source", "epoch", "bucket").agg(F.sum("tokens").alias("s"))
-    before = sums.withColumn("start", F.sum("s").over(Window.partitionBy("source", "epoch").orderBy("bucket")) - F.col("s")).drop("s")
+    # sums before a bucket: within its group of buckets, and over the groups; both windows stay short
+    group = sums.withColumn("group", F.floor(F.col("bucket") / cfg.group_buckets))
+    within = Window.partitionBy("source", "epoch", "group").orderBy("bucket")
+    ahead = group.groupBy("source", "epoch", "group").agg(F.sum("s").alias("g"))
+    ahead = ahead.withColumn("ahead", F.sum("g").over(Window.partitionBy("source", "epoch").orderBy("group")) - F.col("g")).drop("g")
+    before = group.withColumn("inside", F.sum("s").over(within) - F.col("s")).join(ahead, ["source", "epoch", "group"]).select("source", "epoch", "bucket", (F.col("inside") + F.col("ahead")).alias("start"))
     inside = Window.partitionBy("source", "epoch", "bucket").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     dealt = copies(base if keep else slim).withColumn("inner", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     at = dealt.join(before, ["source", "epoch", "bucket"]).withColumn("at", F.col("epoch") * F.col("n") + F.col("start") + F.col("inner"))
-    at = at.filter((F.col("n") == 0) | (F.col("at") < F.col("budget")))
+    # the first epoch is whole: a document without tokens may lie behind the last token
+    at = at.filter((F.col("n") == 0) | (F.col("epoch") == 0) | (F.col("at") < F.col("budget")))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / cfg.block_tokens))
-    block = F.when(F.col("n") > 0, F.floor(F.col("at") / F.col("budget") * blocks)).otherwise(0).cast("long")
+    block = F.when(F.col("n") > 0, F.least(F.floor(F.col("at") / F.col("budget") * blocks), blocks - 1)).otherwise(0).cast("long")
     return at.select("doc_id", "source", "epoch", block.alias("block"), "tokens", F.round("weight", 9).alias("weight"), *[F.col(f"_keep_{i}").alias(c if c not in {"doc_id", "source", "epoch", "block", "tokens", "weight"} else f"_{c}") for i, c in enumerate(keep)])
 
 
 def mixed_documents(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` as the mixture has it: its own columns, one row a copy."""
     names = docs.columns
-    out = mix(docs, cfg, id_col, source_col, keep=tuple(names))
-    return out.select(*[F.col(c if c not in {"doc_id", "source", "epoch", "block", "tokens", "weight"} else f"_{c}").alias(c) for c in names])
+    # by place, so that no name of theirs meets one of the mixture's; the text keeps its own, as tokens are counted in it
+    own = docs.select(*[F.col(f"`{c}`").alias(f"column_{i}") for i, c in enumerate(names)], "text")
+    out = mix(own, cfg, f"column_{names.index(id_col)}", f"column_{names.index(source_col)}", keep=tuple(f"column_{i}" for i in range(len(names))))
+    return out.select(*[F.col(f"column_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def sql(cfg: MixConfig = MixConfig()) -> str:
@@ -168,6 +177,6 @@ copies AS (
 placed AS (
   SELECT *, epoch * n + coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM copies)
 SELECT doc_id, source, epoch::INTEGER AS epoch,
-  CASE WHEN n > 0 THEN floor(pos / budget * greatest(1, ceil(total / {cfg.block_tokens}))) ELSE 0 END::BIGINT AS block,
+  CASE WHEN n > 0 THEN least(floor(pos / budget * greatest(1, ceil(total / {cfg.block_tokens}))), greatest(1, ceil(total / {cfg.block_tokens})) - 1) ELSE 0 END::BIGINT AS block,
   tokens::BIGINT AS tokens, round(budget / greatest(1, total), 9) AS weight
-FROM placed, tot WHERE n = 0 OR pos < budget"""
+FROM placed, tot WHERE n = 0 OR epoch = 0 OR pos < budget"""
