@@ -115,7 +115,7 @@ _PACKED = "kind byte, range int, p0 binary, p1 binary, p2 binary, p3 binary, p4
 #: Rows of what it is answered with: sizes of rows, shared keys of sets, keys of sets that wait for their count, those counts.
 SIZE, MET, WAITING, COUNT = 0, 1, 2, 3
 #: Keys and sets of one block; a set's place in its block has 14 bits.
-_BLOCK_KEYS, _BLOCK_SETS = 1 << 21, 1 << 14
+_BLOCK_KEYS, _BLOCK_SETS = 1 << 20, 1 << 14
 
 
 def _layout(docs: DataFrame, cfg: JaccardConfig) -> tuple[int, int]:
@@ -243,10 +243,11 @@ def sketches(docs: DataFrame, cfg: JaccardConfig, id_col: str) -> DataFrame:
                 key <<= np.uint64(14)
                 key |= place
                 key.sort()
-                place, key = (key & np.uint64((1 << 14) - 1)).astype(np.uint16), key >> np.uint64(14)
+                place = (key & np.uint64((1 << 14) - 1)).astype(np.uint16)
+                key >>= np.uint64(14)
             else:
                 order = np.argsort(key)
-                key, place = key[order], place[order].astype(np.uint16)
+                key, place = key[order], place[order]
             yield from rows(_block(key, place, np.concatenate(names), ranges, bits, cfg.hot))
 
         def described():
@@ -285,7 +286,7 @@ def sketches(docs: DataFrame, cfg: JaccardConfig, id_col: str) -> DataFrame:
                     for shift in (0, 1):
                         count, k = _keys(own[live], g[live], np.where(place >= 0, n, 0), band, parts, shift, bits)
                         keys.append(k)
-                        who.append(np.repeat(np.maximum(place, 0), count).astype(np.uint64))
+                        who.append(np.repeat(np.maximum(place, 0), count).astype(np.uint16))
                         n_keys += len(k)
                     names.append(c1[some])
                     n_names += len(some)
@@ -405,6 +406,7 @@ def _across(groups: DataFrame, sets: DataFrame, cfg: JaccardConfig, tmp: shared.
 def near_duplicates(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
+    docs = docs.select(id_col, "text")
     tmp = shared.Scratch(spark, "jaccard")
     told = tmp.write(sketches(docs, cfg, id_col))
     tmp.drop()
@@ -461,6 +463,22 @@ def one_of_each(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: s
     first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row")))
     keep = name.join(places, "_row").groupBy("component_id").agg(first.alias("k")).select(F.col("k._row").alias("_keep"))
     keep = tmp.write(keep)
-    stay = docs.withColumn("_row", row).join(keep, F.col("_row") == F.col("_keep"), "left_semi")
-    once = stay.withColumn("_rank", F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns)))).filter("_rank = 1")
-    return once.drop("_rank", "_row")
+    name, rank = shared.unused(docs, "_row"), shared.unused(docs, "_rank")
+    stay = docs.withColumn(name, row).join(keep.select(F.col("_keep").alias(name)), name, "left_semi")
+    once = stay.withColumn(rank, F.row_number().over(Window.partitionBy(name).orderBy(F.xxhash64(*docs.columns)))).filter(F.col(rank) == 1)
+    return once.select(*docs.columns)
+
+
+def sql(cfg: JaccardConfig) -> str:
+    """Sizes and classes in DuckDB's SQL, by counting the shingles that documents share."""
+    k = cfg.shingle
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < {k} THEN array_to_string(ws, ' ') ELSE array_to_string(ws[p : p + {k - 1}], ' ') END AS s FROM w, unnest(range(1, greatest(len(ws) - {k}, 0) + 2)) u(p) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {cfg.percent} * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(documents.doc_id, coalesce(m, documents.doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON a = documents.doc_id"""
