@@ -324,7 +324,7 @@ SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 10737418
 CASE WHEN n >= 1000000000 THEN printf('%.1f GB', n / 1e9) WHEN n >= 1000000 THEN printf('%.1f MB', n / 1e6) WHEN n >= 1000 THEN printf('%.0f KB', n / 1e3) ELSE n || ' B' END AS by_1000,
 CASE WHEN o_orderkey >= 3600 THEN printf('%dh%02dm%02ds', o_orderkey // 3600, o_orderkey % 3600 // 60, o_orderkey % 60) WHEN o_orderkey >= 60 THEN printf('%dm%02ds', o_orderkey // 60, o_orderkey % 60) ELSE o_orderkey || 's' END AS took FROM s""")
 def format_sizes(spark, sf_dir):
-    n = F.round(F.col("o_totalprice") * 100).cast("long") * (F.col("o_orderkey") % 1000)
+    n = F.rint(F.col("o_totalprice") * 100).cast("long") * (F.col("o_orderkey") % 1000)
     o = _table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"))
     return o.select("o_orderkey", formats.binary_size(F.col("n")).alias("by_1024"), formats.decimal_size(F.col("n")).alias("by_1000"), formats.duration(F.col("o_orderkey")).alias("took"))
 
