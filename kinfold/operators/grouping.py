@@ -7,6 +7,7 @@ above a threshold and merge clusters only while *every* cross pair is similar. A
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.text import prefix
+from kinfold.plans.stages import written
 
 
 def exact_groups(files: DataFrame, sig: str = "signature") -> DataFrame:
@@ -92,27 +94,58 @@ def fuzzy_groups(files: DataFrame, similarity: Callable[[Column, Column], Column
     return _with_copies(known.join(one.withColumnRenamed("path", "first"), ["category", "signature"]).select("category", "path", "first"), clusters)
 
 
-def dice_pairs(files: DataFrame, text: str, threshold: float, length: int = 8) -> DataFrame:
+def _dealt(kept: DataFrame, ratio: float, rows: int, bigrams: int) -> DataFrame:
+    """``kept`` (id, category, prefix, n, big) with tasks, an array of (block, side: 0 and 1 of two parts, 2 of one with itself): pairs of a prefix whose lengths allow the
+    threshold meet in exactly one block.
+
+    A small prefix is one block. A big one is cut into bands of length, so that a pair lies in one band or in neighbours, and a band into as many parts as its texts need; blocks are
+    the pairs of parts. So no task grows with a prefix, and a text is sent once for each part of its band and of the two beside it.
+    """
+    width = max(1e-3, -math.log(max(ratio, 1e-9))) * (1 + 1e-9)
+    all_bands = ratio > 1e-9
+    band = F.when(F.col("big"), F.floor(F.log("n") / width)).otherwise(0) if all_bands else F.lit(0)
+    kept = kept.withColumn("band", band.cast("long"))
+    here = ["category", "prefix", "band"]
+    parts = kept.filter("big").groupBy(*here).agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / bigrams)).alias("k"))
+    above = parts.select("category", "prefix", (F.col("band") - 1).alias("band"), F.col("k").alias("up"))
+    below = parts.select("category", "prefix", (F.col("band") + 1).alias("band"), F.col("k").alias("down"))
+    parts = parts.join(above, here, "left").join(below, here, "left").select("*", F.lit(True).alias("big"))
+    # ``parts`` has a row for thousands of texts, whatever the table
+    dealt = kept.join(F.broadcast(parts), [*here, "big"], "left").withColumns({"k": F.coalesce("k", F.lit(1)), "up": F.coalesce("up", F.lit(0)), "down": F.coalesce("down", F.lit(0))})
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")))
+
+    def block(band: Column, kind: int, i: Column, j: Column, side: Column) -> Column:
+        name = F.concat_ws("|", band, F.lit(kind), i, j, F.length("category"), "category", "prefix")
+        return F.struct(name.alias("block"), side.cast("int").alias("side"))
+
+    def each(n: str, f: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col(n)), lambda t: t < F.col(n)), f)
+
+    part, at = F.col("part"), F.col("band")
+    own = each("k", lambda t: block(at, 0, F.least(part, t), F.greatest(part, t), F.when(part == t, 2).when(part > t, 1).otherwise(0)))
+    tasks = F.concat(own, each("up", lambda t: block(at, 1, part, t, F.lit(0))), each("down", lambda t: block(at - 1, 1, t, part, F.lit(1))))
+    return dealt.select("id", tasks.alias("tasks"))
+
+
+def dice_pairs(files: DataFrame, text: str, threshold: float, length: int = 8, rows: int = 2048, bigrams: int = 1 << 22) -> DataFrame:
     """Pairs of different texts with the same first ``length`` characters whose Sorensen-Dice coefficient on character bigrams (multisets) reaches the threshold.
 
-    Equal texts are one class first (their first path stands for them). The n-th occurrence of a bigram is one number, so a multiset is an array of different numbers and a pair is
-    judged in its own row by one intersection; lengths prune pairs before arrays meet: Dice >= t needs min / max of the bigram counts >= t / (2 - t).
+    Texts are read once, into packed profiles (``operators.bigrams``) in the shared folder. Equal texts (by SHA-256) are one class, and their first path stands for them. All pairs of a
+    prefix are judged exactly, block by block, where only profiles travel: a part of a block holds about ``rows`` texts and ``bigrams`` bigrams at most, or one text. Lengths
+    prune pairs before: Dice >= t needs min / max of the bigram counts >= t / (2 - t).
     """
-    from kinfold.functions.similarity import bigrams
-
-    one = files.filter(F.col(text).isNotNull()).groupBy("category", F.col(text).alias("t")).agg(F.min("path").alias("path"))
-    counted = one.select("category", prefix(F.col("t"), length).alias("prefix"), "path", F.size(bigrams(F.col("t"))).alias("n"), "t")
-    slim = counted.select("category", "prefix", "path", "n")
-    a = slim.select("category", "prefix", F.col("path").alias("path_a"), F.col("n").alias("n_a"))
-    b = slim.select("category", "prefix", F.col("path").alias("path_b"), F.col("n").alias("n_b"))
-    ratio = threshold / (2 - threshold)
-    near = a.join(b, ["category", "prefix"]).filter((F.col("path_a") < F.col("path_b")) & (F.least("n_a", "n_b") >= ratio * F.greatest("n_a", "n_b")) & (F.least("n_a", "n_b") > 0))
-    asked = near.select(F.explode(F.array("path_a", "path_b")).alias("path")).distinct()
-    grams = counted.join(asked, "path", "left_semi").select("path", F.explode(bigrams(F.col("t"))).alias("g")).groupBy("path", "g").agg(F.count("*").alias("c"))
-    sets = grams.select("path", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("c")), lambda i: F.xxhash64("g", i))).alias("x")).groupBy("path").agg(F.collect_list("x").alias("s"))
-    pairs = near.join(sets.select(F.col("path").alias("path_a"), F.col("s").alias("sa")), "path_a").join(sets.select(F.col("path").alias("path_b"), F.col("s").alias("sb")), "path_b")
-    judged = pairs.withColumn("similarity", 2.0 * F.size(F.array_intersect("sa", "sb")) / (F.col("n_a") + F.col("n_b")))
-    return judged.filter(F.col("similarity") >= threshold).select("path_a", "path_b", "similarity")
+    from kinfold.operators.bigrams import block_pairs, profiles
+
+    known = files.filter(F.col(text).isNotNull() & F.col("category").isNotNull() & F.col("path").isNotNull())
+    known = known.select("category", "path", prefix(F.col(text), length).alias("prefix"), F.sha2(F.col(text).cast("binary"), 256).alias("digest"), F.col(text).cast("binary").alias("t"))
+    made = known.mapInArrow(profiles, "category string, path string, prefix string, digest string, n long, profile binary")
+    made = written(made.filter("n > 0").withColumn("id", F.monotonically_increasing_id()), "profiles")
+    one = made.groupBy("category", "digest").agg(F.min(F.struct("path", "id", "prefix", "n")).alias("r")).select("category", "r.prefix", "r.id", "r.n")
+    sizes = one.groupBy("category", "prefix").agg(F.count("*").alias("c"), F.sum("n").alias("s")).filter("c > 1")
+    kept = written(one.join(sizes, ["category", "prefix"]).select("id", "category", "prefix", "n", ((F.col("c") > rows) | (F.col("s") > bigrams)).alias("big")), "classes")
+    sent = _dealt(kept, threshold / (2 - threshold), rows, bigrams).join(made.select("id", "path", "n", "profile"), "id")
+    sent = sent.select(F.explode("tasks").alias("x"), "path", "n", "profile").select("x.block", "x.side", "path", "n", "profile")
+    return sent.repartition("block").sortWithinPartitions("block").mapInArrow(block_pairs(threshold), "path_a string, path_b string, similarity double")
 
 
 def dice_groups(files: DataFrame, text: str, threshold: float, length: int = 8) -> DataFrame:

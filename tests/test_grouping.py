@@ -1,5 +1,8 @@
 import itertools
+import random
+from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -69,6 +72,45 @@ def test_dice(spark):
     assert set(got) == {("a", "b")} and abs(got["a", "b"] - 2 * 9 / 19) < 1e-12
 
 
+def dice(x, y):
+    a, b = ("".join(t.split()) for t in (x, y))
+    p, q = Counter(zip(a, a[1:], strict=False)), Counter(zip(b, b[1:], strict=False))
+    return 2.0 * (p & q).total() / max(1, p.total() + q.total())
+
+
+@pytest.mark.parametrize("more", [{}, {"rows": 7, "bigrams": 400}])
+def test_dice_against_brute_force(spark, more):
+    """Whole blocks and many parts of bands give the same: copies, other scripts, white space, texts of one character, counts over 255, lengths at the limit."""
+    rng = random.Random(6)
+    base = ["the opening " + "".join(rng.choices("abcdefg \u3000\u00e9\u4e2d\U0001f600", k=k)) for k in (20, 60, 200) for _ in range(4)]
+    texts = ["the opening " + "ab" * k for k in (1, 9, 10, 11, 12, 300, 320, 360)] + ["x", "x y", "the open", "the opening", "the opening", "the  opening", "other " * 4]
+    for _ in range(150):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(6)):
+            t[rng.randrange(11, len(t))] = rng.choice("abz")
+        texts.append("".join(t))
+    texts += rng.sample(texts, 20)
+    rows = [(f"p{i:03d}", "document", t) for i, t in enumerate(texts)]
+    got = grouping.dice_pairs(spark.createDataFrame([*rows, ("n", "document", None), ("o", "other", texts[0])], "path string, category string, t string"), "t", 0.9, **more).collect()
+    first = {}
+    for p, _, t in rows:
+        first.setdefault(t, p)
+    want = {(min(p, q), max(p, q)): s for (x, p), (y, q) in itertools.combinations(first.items(), 2) if x[:8] == y[:8] and (s := dice(x, y)) >= 0.9}
+    assert len(got) == len(want) > 100 and {(r.path_a, r.path_b): r.similarity for r in got} == want
+
+
+def test_dice_sends_no_bigrams_of_pairs(spark):
+    """What crosses the network follows the texts, not their pairs."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(300)]
+    rows = [(f"p{i}", "document", "same start " + " ".join(rng.choices(words, k=150))) for i in range(250)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = lambda: store.executorList(True).apply(0).totalShuffleWrite()
+    before = moved()
+    assert grouping.dice_pairs(spark.createDataFrame(rows, "path string, category string, t string"), "t", 0.5).count() > 1000
+    assert moved() - before < 2 * sum(len(t) for _, _, t in rows)
+
+
 def test_signature_parsing(spark):
     import base64
 
