@@ -462,6 +462,25 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), train.limit(0))).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Nothing is left out beyond 5,000 rows: all come to the training, each in one chunk, and the model finds what it learned."""
+    rng = random.Random(5)
+    rows = [(i, f"w{i} " + " ".join(rng.choices("alpha beta gamma delta omega".split(), k=6)) + " vilebug" * (i % 2)) for i in range(7000)]
+    docs = docs_of(spark, rows)
+    seen = []
+    real = toxicity.train
+
+    def train(load, chunks, counts, langs, cfg):
+        seen.append((chunks, sum(counts.values()), sum(len(load(i, False)[0]) for i in range(chunks)), sum(len(load(i, True)[0]) for i in range(chunks)), sum(n for (_, checked), n in counts.items() if checked)))
+        return real(load, chunks, counts, langs, cfg)
+
+    monkeypatch.setattr(toxicity, "train", train)
+    model = toxicity.fit(docs, table(spark, [(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    ((chunks, counted, loaded, checked, kept),) = seen
+    assert chunks == 2 and counted == loaded == 7000 and 1000 < checked == kept < 1800
+    assert sum(r.predicted == r.doc_id % 2 for r in toxicity.score(docs, model).collect()) > 6900
+
+
 def test_toxicity_learns_from_its_fold_only(spark, tmp_path):
     """Labels of held-out rows may say anything: no score changes. Null labels, ids and texts, repeated and very long rows."""
     out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
