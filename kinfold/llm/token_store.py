@@ -33,6 +33,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -167,27 +168,35 @@ _USUAL = "".join(chr(c) for c in range(0x250) if not 0x1C <= c <= 0x1F and len(c
 _UNUSUAL = re.compile(f"[^{re.escape(_USUAL)}]|<\\|")
 
 
-def _words(text: str) -> list[str] | None:
-    """The words of the lower-cased text; None where it must go through the library whole."""
+def _usual(text: str) -> bool:
+    """Whether the text may go the short way; any other must go through the library whole."""
     try:
         text.isascii() or text.encode("latin-1")  # all of Latin-1 is usual; a few scans for one character each are quicker than the pattern
-        odd = "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return not ("<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"))
     except UnicodeEncodeError:
-        odd = _UNUSUAL.search(text) is not None
-    return None if odd else text.lower().split()
+        return _UNUSUAL.search(text) is None
 
 
-#: Words that a worker remembers at most; beyond it the memory starts anew (results do not change).
-MEMO = 450_000
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``first`` and are ``size`` long, end to end."""
+    stop = np.cumsum(size)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(first - (stop - size), size)
+
+
+#: Words that a worker remembers at most between groups; beyond it half of them are forgotten (results do not change).
+MEMO = 600_000
 #: Characters of text encoded together.
-GROUP = 1 << 20
+GROUP = 2 << 20
+#: Pieces given to the library's model in one call, which takes several hundred bytes each.
+PIECES = 5_000
 
 
 class Encoder:
     """The ids that one tokenizer file's ``encode`` gives, with those of words remembered.
 
     The file splits a lower-cased text into pieces and encodes each alone, so equal pieces have equal ids: a piece is given to the library's model
-    when first met. A text with an unusual character is given to the library whole.
+    when first met. A text with an unusual character is given to the library whole. The ids of all remembered words lie in one array; a word is a
+    number, and Python sees a word once a group of texts, not once an occurrence.
     """
 
     _held: dict[str, "Encoder"] = {}
@@ -199,14 +208,34 @@ class Encoder:
         self.words = Tokenizer(self.tok.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        rest = [b for b in range(256) if b not in printable]
-        self.alphabet = {b: 256 + i for i, b in enumerate(rest) if b != 32}
-        self.memo: dict[str, bytes] = {}
+        #: The model's character of each byte; a space stays, as it parts the pieces.
+        self.alphabet = np.arange(256, dtype="<u4")
+        self.alphabet[[b for b in range(256) if b not in printable]] = 256 + np.arange(256 - len(printable))
+        chars = [chr(c) for c in self.alphabet]
+        self.alphabet[32] = 32
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        vocab, mark = spec["model"].get("vocab"), spec["model"].get("end_of_word_suffix")
+        vocab = vocab if isinstance(vocab, dict) else {}  # a list in other kinds of file
+        #: Ids that end a piece: the model marks them, whatever the piece.
+        self.last = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+        self.last[[i for x, i in vocab.items() if mark and x.endswith(mark)]] = True
         # the short way is for this kind of file only; any other goes through the library whole
-        self.short = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(spec.get("pre_tokenizer")).replace("\\\\", "\\")
+        self.short = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(spec.get("pre_tokenizer")).replace("\\\\", "\\") and bool(mark) and all(c in vocab and c + mark in vocab for c in chars)
+        self.memo: dict[str, int] = {}
+        self.first, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.met = np.zeros(0, np.int64)  # groups that held the word, halved whenever words are forgotten
+
+    def _forget(self) -> None:
+        """Forget the half of the words that the fewest groups held."""
+        keep = np.sort(np.argpartition(-self.met, len(self.met) // 2)[: len(self.met) // 2])
+        words, met = list(self.memo), self.met[keep] // 2  # words lie in the order of their numbers
+        ids, stop = self.pool[_spans(self.first[keep], self.size[keep])], self.size[keep].cumsum()
+        self.memo = {}
+        self.first, self.size, self.pool, self.met = self.first[:0], self.size[:0], self.pool[:0], met[:0]
+        self._add([words[i] for i in keep.tolist()], ids, stop)
+        self.met = met
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -217,33 +246,54 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, missing: set[str]) -> None:
+    def _add(self, words: list[str], ids: np.ndarray, stop: np.ndarray) -> None:
+        """Remember words, whose ids end at ``stop``."""
+        self.memo.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        size = np.diff(stop, prepend=0)
+        self.first = np.concatenate([self.first, len(self.pool) + stop - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
+
+    def _learn(self, missing: list[str]) -> None:
         """Ids of words not met before, through the ids of their pieces; a piece that was met as a word is known."""
         memo = self.memo
-        parts = {w: _PIECE.findall(w) for w in missing}
-        new = list({x for p in parts.values() for x in p if x not in memo})
-        own: dict[str, bytes] = {}
-        if new:
-            # one call for all of them: the file's own model, each piece a word in the model's byte alphabet
-            got = self.words.encode(" ".join(new).encode().decode("latin-1").translate(self.alphabet), add_special_tokens=False)
-            raw = np.array(got.ids, np.uint32).tobytes()
-            cut = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
-            own = {x: raw[a:b] for x, a, b in zip(new, cut[:-1], cut[1:], strict=True)}
-        for w, p in parts.items():
-            memo[w] = (own[w] if w in own else memo[p[0]]) if len(p) == 1 else b"".join([own[x] if x in own else memo[x] for x in p])
+        letters = list(map(str.isalpha, missing))
+        alone = list(compress(missing, letters))
+        parts = {w: _PIECE.findall(w) for w, x in zip(missing, letters, strict=True) if not x}
+        new = alone + list({x for p in parts.values() for x in p if x not in memo}.difference(alone))
+        for lo in range(0, len(new), PIECES):
+            # one call for many: the file's own model, each piece a word in the model's byte alphabet
+            some = new[lo : lo + PIECES]
+            text = self.alphabet[np.frombuffer(" ".join(some).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            self._add(some, ids, np.flatnonzero(self.last[ids]) + 1)
+        joined = {w: p for w, p in parts.items() if len(p) != 1}  # of none: white space at a text's ends gives empty words
+        if joined:
+            at = np.array([memo[x] for p in joined.values() for x in p], np.int64)
+            size = self.size[at]
+            self._add(list(joined), self.pool[_spans(self.first[at], size)], np.concatenate([[0], size.cumsum()])[np.cumsum([len(p) for p in joined.values()])])
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. No piece spans white space, so a text's ids are those of its words end to end."""
-        short = [_words(t) if self.short else None for t in texts]
+        short = [self.short and _usual(t) for t in texts]
         if len(self.memo) > MEMO:
-            self.memo = {}
-        get = self.memo.get
-        found = [None if w is None else list(map(get, w)) for w in short]
-        missing = {x for w, f in zip(short, found, strict=True) if f and None in f for x, y in zip(w, f, strict=True) if y is None}
-        if missing:
+            self._forget()
+        split = pc.utf8_split_whitespace(pa.array([t.lower() for t, s in zip(texts, short, strict=True) if s], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # in C; ``to_pylist`` makes an object more a word
+        at = np.fromiter(map(self.memo.get, known, repeat(-1)), np.int64, len(known))
+        if len(new := np.flatnonzero(at < 0)):
+            missing = [known[i] for i in new.tolist()]
             self._learn(missing)
-            found = [[get(x) for x in w] if f and None in f else f for w, f in zip(short, found, strict=True)]
-        return [self.whole(t) if f is None else np.frombuffer(b"".join(f), np.uint32) for t, f in zip(texts, found, strict=True)]
+            at[new] = np.fromiter(map(self.memo.__getitem__, missing), np.int64, len(missing))
+        self.met[at] += 1
+        at = at[words.indices.to_numpy()]
+        size = self.size[at]
+        ids = self.pool[_spans(self.first[at], size)]
+        stop = np.concatenate([[0], size.cumsum()])[split.offsets.to_numpy()].tolist()
+        found = iter([ids[a:b] for a, b in zip(stop[:-1], stop[1:], strict=True)])
+        return [next(found) if s else self.whole(t) for t, s in zip(texts, short, strict=True)]
 
     def __call__(self, text: str) -> np.ndarray:
         return self.many([text])[0]

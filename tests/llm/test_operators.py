@@ -222,6 +222,23 @@ def test_encoder_is_the_library(texts):
         assert enc(t).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_frequent_words(monkeypatch):
+    """A full memory forgets the rare words only, and words given to the model in several calls have their own ids."""
+    monkeypatch.setattr(token_store, "MEMO", 200)
+    monkeypatch.setattr(token_store, "PIECES", 7, raising=False)
+    enc = token_store.Encoder(queries.vocabulary())
+    learn, learned = enc._learn, Counter()
+    monkeypatch.setattr(enc, "_learn", lambda missing: (learned.update(missing), learn(missing)))
+    rng = random.Random(5)
+    often = ["the", "naïve", "it's", "3.5", "...", "été,"]
+    for _ in range(40):
+        texts = [" " + " ".join(often + ["".join(rng.choices("abcdefgé'7.", k=rng.randint(1, 9))) for _ in range(20)]) + end for end in ("", "\n", " it's")] + ["", "  "]
+        for t, ids in zip(texts, enc.many(texts), strict=True):
+            assert ids.tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+        assert len(enc.memo) < 500
+    assert {w: learned[w] for w in often} == dict.fromkeys(often, 1)
+
+
 # ---------------------------------------------------------------- 4
 
 
