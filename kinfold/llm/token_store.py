@@ -33,7 +33,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable
-from itertools import compress, repeat
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -183,10 +183,25 @@ def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(stop[-1] if len(stop) else 0) + np.repeat(first - (stop - size), size)
 
 
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large strings without null end to end, and their offsets in it."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, off, data = words.buffers()
+    off = np.frombuffer(off, np.int64)[words.offset : words.offset + len(words) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[off[0] : off[-1]], off - off[0]
+
+
 #: Words that a worker remembers at most between groups; beyond it half of them are forgotten (results do not change).
 MEMO = 600_000
+#: Bytes of those words and of their ids, with the same effect.
+MEMO_BYTES = 48 << 20
+#: Bytes of a word that is remembered at most; a longer one is encoded in each group that holds it.
+LONG = 64
 #: Characters of text encoded together.
-GROUP = 2 << 20
+GROUP = 1 << 20
+#: Rows that Spark sends a worker at once; both sides hold such a batch or two beside the group.
+ROWS = 1_000
 #: Pieces given to the library's model in one call, which takes several hundred bytes each.
 PIECES = 5_000
 
@@ -195,8 +210,8 @@ class Encoder:
     """The ids that one tokenizer file's ``encode`` gives, with those of words remembered.
 
     The file splits a lower-cased text into pieces and encodes each alone, so equal pieces have equal ids: a piece is given to the library's model
-    when first met. A text with an unusual character is given to the library whole. The ids of all remembered words lie in one array; a word is a
-    number, and Python sees a word once a group of texts, not once an occurrence.
+    when first met. A text with an unusual character is given to the library whole. Remembered words are no Python objects, which would take several times
+    the memory: their bytes lie in one array, their ids in another, and a word is found by a sorted array of hashes and then held against its bytes.
     """
 
     _held: dict[str, "Encoder"] = {}
@@ -223,19 +238,26 @@ class Encoder:
         self.last[[i for x, i in vocab.items() if mark and x.endswith(mark)]] = True
         # the short way is for this kind of file only; any other goes through the library whole
         self.short = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(spec.get("pre_tokenizer")).replace("\\\\", "\\") and bool(mark) and all(c in vocab and c + mark in vocab for c in chars)
-        self.memo: dict[str, int] = {}
-        self.first, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.met = np.zeros(0, np.int64)  # groups that held the word, halved whenever words are forgotten
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Hashes of remembered words, ascending, and the numbers of these words.
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        #: Bytes and ids of all words by number, and where each ends.
+        self.data, self.off = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.pool, self.cut = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.memo = np.zeros(0, np.int32)  # groups that held the word, halved whenever words are forgotten
 
     def _forget(self) -> None:
-        """Forget the half of the words that the fewest groups held."""
-        keep = np.sort(np.argpartition(-self.met, len(self.met) // 2)[: len(self.met) // 2])
-        words, met = list(self.memo), self.met[keep] // 2  # words lie in the order of their numbers
-        ids, stop = self.pool[_spans(self.first[keep], self.size[keep])], self.size[keep].cumsum()
-        self.memo = {}
-        self.first, self.size, self.pool, self.met = self.first[:0], self.size[:0], self.pool[:0], met[:0]
-        self._add([words[i] for i in keep.tolist()], ids, stop)
-        self.met = met
+        """Forget the half of the words that the fewest groups held, and long ones."""
+        keep = np.sort(np.argpartition(-self.memo, len(self.memo) // 2)[: len(self.memo) // 2])
+        size = np.diff(self.off)
+        keep = keep[size[keep] <= LONG]
+        size, n_ids, met = size[keep], np.diff(self.cut)[keep], self.memo[keep] // 2
+        data, ids = self.data[_spans(self.off[keep], size)], self.pool[_spans(self.cut[keep], n_ids)]
+        self._clear()
+        self._add(data, np.concatenate([[0], size.cumsum()]), ids, n_ids.cumsum())
+        self.memo = met
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -246,51 +268,86 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _add(self, words: list[str], ids: np.ndarray, stop: np.ndarray) -> None:
+    @staticmethod
+    def _hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of words that may be remembered, and their hashes."""
+        size = np.diff(off)
+        at = np.flatnonzero((size > 0) & (size <= LONG))
+        return at, shared.word_hashes(data, off[at], size[at])
+
+    def _find(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Numbers of words; -1 for one that is not remembered, so for one whose hash another word has."""
+        found = np.full(len(off) - 1, -1, np.int64)
+        at, hashes = self._hashes(data, off)
+        place = np.searchsorted(self.keys, hashes)
+        hit = place < len(self.keys)
+        hit[hit] = self.keys[place[hit]] == hashes[hit]
+        at, number = at[hit], self.number[place[hit]]
+        size = off[at + 1] - off[at]
+        equal = size == self.off[number + 1] - self.off[number]
+        at, number, size = at[equal], number[equal], size[equal]
+        if len(at):
+            same = np.logical_and.reduceat(data[_spans(off[at], size)] == self.data[_spans(self.off[number], size)], size.cumsum() - size)
+            found[at[same]] = number[same]
+        return found
+
+    def _add(self, data: np.ndarray, off: np.ndarray, ids: np.ndarray, stop: np.ndarray) -> None:
         """Remember words, whose ids end at ``stop``."""
-        self.memo.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
-        size = np.diff(stop, prepend=0)
-        self.first = np.concatenate([self.first, len(self.pool) + stop - size])
-        self.size = np.concatenate([self.size, size])
+        n = len(self.memo)
+        at, hashes = self._hashes(data, off)
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.keys, hashes[order])
+        self.keys, self.number = np.insert(self.keys, place, hashes[order]), np.insert(self.number, place, at[order] + n)
+        self.off = np.concatenate([self.off, off[1:] + len(self.data)])
+        self.data = np.concatenate([self.data, data])
+        self.cut = np.concatenate([self.cut, stop + len(self.pool)])
         self.pool = np.concatenate([self.pool, ids])
-        self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
+        self.memo = np.concatenate([self.memo, np.zeros(len(stop), np.int32)])
 
     def _learn(self, missing: list[str]) -> None:
-        """Ids of words not met before, through the ids of their pieces; a piece that was met as a word is known."""
-        memo = self.memo
+        """Remember words not met before, with the ids of their pieces; a piece that was met as a word is known. ``new`` has their numbers."""
         letters = list(map(str.isalpha, missing))
         alone = list(compress(missing, letters))
         parts = {w: _PIECE.findall(w) for w, x in zip(missing, letters, strict=True) if not x}
-        new = alone + list({x for p in parts.values() for x in p if x not in memo}.difference(alone))
+        pieces = list({x for p in parts.values() for x in p}.difference(alone))
+        number = dict(zip(pieces, self._find(*_bytes(pa.array(pieces, pa.large_string()))).tolist(), strict=True))
+        new = alone + [x for x in pieces if number[x] < 0]
+        number.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+        got, ends, total = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
         for lo in range(0, len(new), PIECES):
             # one call for many: the file's own model, each piece a word in the model's byte alphabet
-            some = new[lo : lo + PIECES]
-            text = self.alphabet[np.frombuffer(" ".join(some).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            text = self.alphabet[np.frombuffer(" ".join(new[lo : lo + PIECES]).encode(), np.uint8)].tobytes().decode("utf-32-le")
             ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            self._add(some, ids, np.flatnonzero(self.last[ids]) + 1)
-        joined = {w: p for w, p in parts.items() if len(p) != 1}  # of none: white space at a text's ends gives empty words
+            got.append(ids)
+            ends.append(np.flatnonzero(self.last[ids]) + 1 + total)
+            total += len(ids)
+        self._add(*_bytes(pa.array(new, pa.large_string())), np.concatenate(got), np.concatenate(ends))
+        joined = {w: p for w, p in parts.items() if len(p) != 1}
         if joined:
-            at = np.array([memo[x] for p in joined.values() for x in p], np.int64)
-            size = self.size[at]
-            self._add(list(joined), self.pool[_spans(self.first[at], size)], np.concatenate([[0], size.cumsum()])[np.cumsum([len(p) for p in joined.values()])])
+            at = np.array([number[x] for p in joined.values() for x in p], np.int64)
+            size = self.cut[at + 1] - self.cut[at]
+            number.update(zip(joined, range(len(self.memo), len(self.memo) + len(joined)), strict=True))
+            self._add(*_bytes(pa.array(list(joined), pa.large_string())), self.pool[_spans(self.cut[at], size)], np.concatenate([[0], size.cumsum()])[np.cumsum([len(p) for p in joined.values()])])
+        self.new = np.fromiter(map(number.__getitem__, missing), np.int64, len(missing))
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. No piece spans white space, so a text's ids are those of its words end to end."""
         short = [self.short and _usual(t) for t in texts]
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO or self.data.nbytes + self.pool.nbytes > MEMO_BYTES:
             self._forget()
         split = pc.utf8_split_whitespace(pa.array([t.lower() for t, s in zip(texts, short, strict=True) if s], pa.large_string()))
         words = split.flatten().dictionary_encode()
-        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # in C; ``to_pylist`` makes an object more a word
-        at = np.fromiter(map(self.memo.get, known, repeat(-1)), np.int64, len(known))
-        if len(new := np.flatnonzero(at < 0)):
-            missing = [known[i] for i in new.tolist()]
-            self._learn(missing)
-            at[new] = np.fromiter(map(self.memo.__getitem__, missing), np.int64, len(missing))
-        self.met[at] += 1
-        at = at[words.indices.to_numpy()]
-        size = self.size[at]
-        ids = self.pool[_spans(self.first[at], size)]
+        data, off = _bytes(words.dictionary)
+        at = self._find(data, off)
+        full = np.diff(off) > 0  # white space at a text's ends gives empty words, which have no ids
+        if len(new := np.flatnonzero((at < 0) & full)):
+            self._learn(words.dictionary.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist())  # in C; ``to_pylist`` makes an object more a word
+            at[new] = self.new
+        self.memo[at[full]] += 1
+        first, size = self.cut[at], np.where(full, self.cut[at + 1] - self.cut[at], 0)
+        at = words.indices.to_numpy()
+        size = size[at]
+        ids = self.pool[_spans(first[at], size)]
         stop = np.concatenate([[0], size.cumsum()])[split.offsets.to_numpy()].tolist()
         found = iter([ids[a:b] for a, b in zip(stop[:-1], stop[1:], strict=True)])
         return [next(found) if s else self.whole(t) for t, s in zip(texts, short, strict=True)]
@@ -320,7 +377,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + GROUP, "right")))
-                yield from zip(batch.column(0)[lo:hi], enc.many([x or "" for x in batch.column(1)[lo:hi].to_pylist()]), strict=True)
+                got = enc.many([x or "" for x in batch.column(1)[lo:hi].to_pylist()])
+                shared.trim()  # else a worker keeps what its largest group took
+                yield from zip(batch.column(0)[lo:hi], got, strict=True)
                 lo = hi
 
         part = 0
@@ -338,7 +397,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
             yield flush()
 
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.withColumn("part", F.spark_partition_id()).mapInArrow(encode, STORE_SCHEMA).write.option("compression", "zstd").parquet(path)
+    with shared.arrow_rows(docs.sparkSession, ROWS):
+        dealt.withColumn("part", F.spark_partition_id()).mapInArrow(encode, STORE_SCHEMA).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(STORE_SCHEMA).parquet(path)
 
 

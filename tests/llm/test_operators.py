@@ -1,14 +1,17 @@
 """Operators against brute force on small fixtures, with nulls, empties, ties, repeats and clashing columns."""
 
+import gc
 import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -239,6 +242,57 @@ def test_encoder_keeps_frequent_words(monkeypatch):
     assert {w: learned[w] for w in often} == dict.fromkeys(often, 1)
 
 
+def test_encoder_is_small():
+    """Remembered words take tens of bytes each, as two workers share an executor's memory with its JVM."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(40_000)]
+    enc = token_store.Encoder(queries.vocabulary())
+    enc("a")
+    gc.collect()
+    tracemalloc.start()
+    try:
+        for lo in range(0, len(words), 4_000):
+            enc(" ".join(words[lo : lo + 4_000]))
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(enc.memo) >= len(set(words)) and held / len(words) < 100
+
+
+def test_encoder_with_equal_hashes_and_long_words(monkeypatch):
+    """Words are told apart by their bytes, not their hashes; long ones are not remembered for good."""
+    texts = ["it's été the 3.5 end", "the end é the", " " + "long" * 40 + " the " + "é" * 33 + " ", "", " ", "x" * 64 + " " + "x" * 65]
+    for hashes in (shared.word_hashes, lambda data, at, length: np.zeros(len(at), np.uint64), lambda data, at, length: length.astype(np.uint64)):
+        monkeypatch.setattr(shared, "word_hashes", hashes)
+        enc = token_store.Encoder(queries.vocabulary())
+        for _ in range(3):
+            assert [x.tolist() for x in enc.many(texts)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.undo()
+    monkeypatch.setattr(token_store, "MEMO_BYTES", 5_000, raising=False)
+    enc = token_store.Encoder(queries.vocabulary())
+    for i in range(50):
+        t = f"{'long' * 1000}{i} short the"
+        assert enc(t).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+    assert enc.data.nbytes + enc.pool.nbytes < 40_000
+
+
+def test_batches_to_workers_are_small(spark):
+    """The setting is back afterwards, after an error too, and a smaller one of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for own, want in ((before, 7), ("3", 3), ("0", 7)):
+        spark.conf.set(key, own)
+        try:
+            with pytest.raises(ZeroDivisionError), shared.arrow_rows(spark, 7):
+                rows = spark.range(20, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+                assert max(r.n for r in rows) == want and sum(r.n for r in rows) == 20
+                1 / 0
+            assert spark.conf.get(key) == own
+        finally:
+            spark.conf.set(key, before)
+
+
 # ---------------------------------------------------------------- 4
 
 
